@@ -224,31 +224,48 @@ def screen_tally(df: DataFrame, key: str = "site", time: str = "time", value: st
         "kept")
 
 
-def held_runs(df: DataFrame, key: str = "deployment", max_hold_hours: float = 8.0,
-              seconds: int | None = None) -> DataFrame:
-    """Stretches whose position repeats for ``max_hold_hours`` or longer.
+def position_runs(df: DataFrame, key: str = "deployment", seconds: int | None = None) -> DataFrame:
+    """(key, run, longitude, latitude, held_from, held_to): stretches of one position.
 
     Works on distinct (key, time, position): copies of a fix cannot make a task large.
-    A missing coordinate starts its own run.
+    A missing coordinate starts its own run. Equality is at six decimals.
     """
     fixes = df.select(
-        key, "time",
-        (F.bround("longitude", 6)).alias("_x"), (F.bround("latitude", 6)).alias("_y"),
-    ).distinct()
-    moved = ~F.coalesce(
-        (F.col("prev._x") == F.col("_x")) & (F.col("prev._y") == F.col("_y")), F.lit(False))
+        key, "time", F.bround("longitude", 6).alias("_x"), F.bround("latitude", 6).alias("_y")
+    ).distinct().withColumn("_chunk", chunked.time_chunk("time", seconds))
     order = ["time", "_x", "_y"]
-    marked = chunked.with_previous(fixes, [key], order, ["_x", "_y"], "prev", seconds)
-    marked = marked.withColumn("_start", moved.cast("long")).drop("prev")
-    runs = chunked.with_running_sum(marked, [key], order, F.col("_start"), "run", seconds)
-    return (
-        runs.groupBy(key, "run")
-        .agg(F.min("time").alias("held_from"), F.max("time").alias("held_to"),
-             F.first("_x").alias("_x"), F.first("_y").alias("_y"))
-        .where(C.micros("held_to") - C.micros("held_from")
-               >= F.lit(int(max_hold_hours * 3_600_000_000)))
-        .drop("run")
+    inside = W.partitionBy(key, "_chunk").orderBy(*order)
+    across = W.partitionBy(key).orderBy("_chunk")
+
+    def moved(x, y, px, py):
+        return ~F.coalesce((F.col(x) == F.col(px)) & (F.col(y) == F.col(py)), F.lit(False))
+
+    local = fixes.withColumn("_px", F.lag("_x").over(inside)).withColumn("_py", F.lag("_y").over(inside)).withColumn(
+        "_row", F.row_number().over(inside))
+    # the first row of a chunk is judged against the last row of the chunk before
+    step = F.when(F.col("_row") == 1, 0).otherwise(moved("_x", "_y", "_px", "_py").cast("long"))
+    local = local.withColumn("_n", F.sum(step).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    rank = F.struct(*order)
+    chunks = (
+        local.groupBy(key, "_chunk").agg(
+            F.max("_n").alias("_steps"), F.min(rank).alias("_first"), F.max(rank).alias("_last"))
+        .withColumn("_carry", F.lag("_last").over(across))
+        .withColumn("_new", moved("_first._x", "_first._y", "_carry._x", "_carry._y").cast("long"))
+        .withColumn("_base", F.sum(F.col("_steps") + F.col("_new")).over(
+            across.rowsBetween(W.unboundedPreceding, 0)) - F.col("_steps"))
+        .select(key, "_chunk", "_base")
     )
+    return local.join(chunks, [key, "_chunk"]).withColumn("run", F.col("_base") + F.col("_n")).groupBy(key, "run").agg(
+        F.first("_x").alias("longitude"), F.first("_y").alias("latitude"),
+        F.min("time").alias("held_from"), F.max("time").alias("held_to"))
+
+
+def held_runs(df: DataFrame, key: str = "deployment", max_hold_hours: float = 8.0,
+              seconds: int | None = None) -> DataFrame:
+    """Stretches whose position repeats for ``max_hold_hours`` or longer."""
+    return position_runs(df, key, seconds).where(
+        C.micros("held_to") - C.micros("held_from") >= F.lit(int(max_hold_hours * 3_600_000_000))
+    ).drop("run")
 
 
 def mask_held_positions(df: DataFrame, key: str = "deployment",
@@ -258,7 +275,9 @@ def mask_held_positions(df: DataFrame, key: str = "deployment",
     any cut to a recent window. ``None`` or 0 turns it off."""
     if not max_hold_hours:
         return df
-    runs = held_runs(df, key, max_hold_hours, seconds).withColumnRenamed(key, "_key")
+    runs = held_runs(df, key, max_hold_hours, seconds).select(
+        F.col(key).alias("_key"), F.col("longitude").alias("_x"), F.col("latitude").alias("_y"),
+        "held_from", "held_to")
     hit = (
         (F.col(key) == F.col("_key"))
         & (F.bround("longitude", 6) == F.col("_x")) & (F.bround("latitude", 6) == F.col("_y"))

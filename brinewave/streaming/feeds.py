@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brinewave.functions import columns as C
-from brinewave.operators.incremental import fresh_rows
+from brinewave.operators.incremental import after_marks, fresh_rows
+from brinewave.session import cut_lineage
 
 
 def ingest_stream(stream: DataFrame, path: str, checkpoint: str, mode: str,
@@ -66,40 +63,56 @@ def daily_completeness(stream: DataFrame, key: str = "site", time: str = "time",
     )
 
 
-HELD_OUT = "deployment string, longitude double, latitude double, held_from timestamp, held_to timestamp"
-HELD_STATE = "lon double, lat double, start_us long, last_us long"
+def held_position_stream(stream: DataFrame, path: str, checkpoint: str, max_hold_hours: float = 8.0):
+    """Writer that detects frozen positions as rows arrive.
+
+    ``path/closed`` gets the held runs that ended, ``path/open`` the still open run of every
+    deployment after each batch. A batch continues from the open runs of the batch before:
+    their first and last fix join the new fixes and the batch operator does the rest, so a
+    deployment with most of the feed is still cut along time. Rows older than the open
+    run's last fix are late and refused. Replaying a batch replaces its own output.
+    """
+    from brinewave.operators.screening import position_runs
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fixes = batch.select("deployment", "time", "longitude", "latitude")
+        before = _table(spark, f"{path}/open", batch_id - 1)
+        if before is not None:
+            marks = before.select("deployment", F.col("held_to").alias("mark"))
+            ends = before.select("deployment", F.explode(F.array("held_from", "held_to")).alias("time"),
+                                 "longitude", "latitude")
+            fixes = after_marks(fixes, marks).unionByName(ends)
+        runs = cut_lineage(position_runs(fixes))
+        last = runs.groupBy("deployment").agg(F.max("held_to").alias("held_to"))
+        tail = runs.join(last, ["deployment", "held_to"], "left_semi")
+        tail = tail.groupBy("deployment").agg(F.max_by(
+            F.struct("longitude", "latitude", "held_from", "held_to"), "run").alias("r"), F.max("run").alias("run"))
+        closed = runs.join(tail.select("deployment", "run"), ["deployment", "run"], "left_anti").where(
+            C.micros("held_to") - C.micros("held_from") >= int(max_hold_hours * 3_600_000_000)).drop("run")
+        for frame, name in ((closed, "closed"), (tail.select("deployment", "r.*"), "open")):
+            frame.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
 
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
-def held_positions(stream: DataFrame, max_hold_hours: float = 8.0) -> DataFrame:
-    """Runs of one unchanging position as they close, per deployment.
 
-    State is one open run. A micro-batch is reduced to distinct fixes before it reaches
-    Python, and arrives there in Arrow batches sorted by the caller's time order.
-    """
-    limit = int(max_hold_hours * 3_600_000_000)
-
-    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = list(state.get) if state.exists else None
-        closed = []
-        for pdf in batches:
-            for lon, lat, at in zip(pdf["lon"], pdf["lat"], pdf["us"]):
-                same = run is not None and lon == run[0] and lat == run[1]
-                if same:
-                    run[3] = max(run[3], int(at))
-                    continue
-                if run is not None and run[3] - run[2] >= limit:
-                    closed.append(run)
-                run = [float(lon), float(lat), int(at), int(at)]
-        if run is not None:
-            state.update(tuple(run))
-        if closed:
-            yield pd.DataFrame({
-                "deployment": [key[0]] * len(closed),
-                "longitude": [r[0] for r in closed], "latitude": [r[1] for r in closed],
-                "held_from": pd.to_datetime([r[2] for r in closed], unit="us"),
-                "held_to": pd.to_datetime([r[3] for r in closed], unit="us")})
-
-    fixes = stream.select("deployment", F.bround("longitude", 6).alias("lon"),
-                          F.bround("latitude", 6).alias("lat"), C.micros("time").alias("us"))
-    return fixes.groupBy("deployment").applyInPandasWithState(
-        follow, HELD_OUT, HELD_STATE, "append", GroupStateTimeout.NoTimeout)
+def _table(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    if batch_id < 0:
+        return None
+    try:
+        return spark.read.parquet(path).where(F.col("batch") == batch_id).drop("batch")
+    except AnalysisException:
+        return None
+
+
+def held_positions_so_far(spark: SparkSession, path: str, max_hold_hours: float = 8.0) -> DataFrame:
+    """Closed runs plus the open ones that are already long enough."""
+    closed = spark.read.parquet(f"{path}/closed")
+    state = spark.read.parquet(f"{path}/open")
+    newest = state.agg(F.max("batch").alias("v")).scalar()
+    now_open = state.where(F.col("batch") == newest).where(
+        C.micros("held_to") - C.micros("held_from") >= int(max_hold_hours * 3_600_000_000))
+    return closed.unionByName(now_open).drop("batch")
