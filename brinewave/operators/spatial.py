@@ -118,17 +118,19 @@ def first_track(points: DataFrame, fixes: DataFrame, point_key: str, order: str,
 
 
 def distance_to_water(sites: DataFrame, cells: DataFrame, site_key: str, finest: float = 0.0625,
-                      levels: int = 6, cfg: GridConfig = GridConfig()) -> DataFrame:
+                      levels: int = 4, cfg: GridConfig = GridConfig()) -> DataFrame:
     """Kilometres from each site to the nearest cell with a value; exact.
 
     Descends from coarse to fine occupied bins. At each level a site keeps the bins whose
     nearest corner is not beyond the best farthest corner, a handful whatever the number
-    of cells, so sites are never compared with cells in general. Each bin has 16 children.
+    of cells, so sites are never compared with cells in general. Each bin has 64 children.
     """
+    from brinewave.session import cut_lineage
+
     ocean = cells.where(C.clean("value").isNotNull()).select(
         F.col("lon").alias("_clon"), F.col("lat").alias("_clat"),
         F.floor(F.col("lon") / finest).alias("_bx"), F.floor(F.col("lat") / finest).alias("_by"))
-    occupied = ocean.select("_bx", "_by").distinct()
+    occupied = cut_lineage(ocean.select("_bx", "_by").distinct())
     here = sites.select(site_key, F.col("lon").alias("_slon"), F.col("lat").alias("_slat"))
     kx = F.lit(cfg.km_per_lon) * F.cos(F.radians("_slat"))
     ky = F.lit(cfg.km_per_lat)
@@ -139,14 +141,14 @@ def distance_to_water(sites: DataFrame, cells: DataFrame, site_key: str, finest:
         farthest = F.greatest(F.abs(position - low), F.abs(position - high)) * scale
         return nearest, farthest
 
-    coarse = finest * 4 ** (levels - 1)
+    coarse = finest * 8 ** (levels - 1)
     reach = int(180 // coarse) + 1
     span = F.sequence(F.lit(-reach), F.lit(reach))
     candidates = here.withColumn("_bx", F.explode(span)).withColumn("_by", F.explode(span))
     for level in range(levels - 1, -1, -1):
-        size = finest * 4 ** level
-        bins = occupied.select(F.floor(F.col("_bx") / 4 ** level).alias("_bx"),
-                               F.floor(F.col("_by") / 4 ** level).alias("_by")).distinct()
+        size = finest * 8 ** level
+        bins = occupied.select(F.floor(F.col("_bx") / 8 ** level).alias("_bx"),
+                               F.floor(F.col("_by") / 8 ** level).alias("_by")).distinct()
         nx, fx = axis_bounds(F.col("_slon"), "_bx", size, kx)
         ny, fy = axis_bounds(F.col("_slat"), "_by", size, ky)
         bounded = candidates.join(bins, ["_bx", "_by"]).withColumn("_least", F.hypot(nx, ny)).withColumn(
@@ -155,10 +157,10 @@ def distance_to_water(sites: DataFrame, cells: DataFrame, site_key: str, finest:
         kept = bounded.join(best, site_key).where(F.col("_least") <= F.col("_best")).select(
             site_key, "_slon", "_slat", "_bx", "_by")
         if level:
-            quarter = F.sequence(F.lit(0), F.lit(3))
+            eighth = F.sequence(F.lit(0), F.lit(7))
             candidates = kept.withColumn("_bx", F.explode(F.transform(
-                quarter, lambda k: F.col("_bx") * 4 + k))).withColumn("_by", F.explode(F.transform(
-                    quarter, lambda k: F.col("_by") * 4 + k)))
+                eighth, lambda k: F.col("_bx") * 8 + k))).withColumn("_by", F.explode(F.transform(
+                    eighth, lambda k: F.col("_by") * 8 + k)))
     dx = (F.col("_clon") - F.col("_slon")) * kx
     dy = (F.col("_clat") - F.col("_slat")) * ky
     return kept.join(ocean, ["_bx", "_by"]).groupBy(site_key).agg(F.min(F.hypot(dx, dy)).alias("km"))

@@ -120,7 +120,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def with_views(*names: str) -> str:
     """The opening WITH of a reference SQL."""
-    return "WITH " + ",\n".join(f"{n} AS ({_duck_text(VIEWS[n][1])})" for n in names)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_duck_text(VIEWS[n][1])})" for n in names)
 
 
 def edge(df: DataFrame, places: int = 6) -> DataFrame:
