@@ -9,6 +9,7 @@ from brinewave.functions import columns as C
 from brinewave.operators.profile import high_water_marks
 from brinewave.operators.screening import gross_range
 from brinewave.operators.sequences import keep_last
+from brinewave.operators.sizing import join_checked
 
 
 def after_marks(df: DataFrame, marks: DataFrame, key: str = "deployment", time: str = "time",
@@ -19,7 +20,7 @@ def after_marks(df: DataFrame, marks: DataFrame, key: str = "deployment", time:
     Marks are one row per deployment; the side is broadcast only if it turns out small.
     """
     edge = C.micros("_mark") - F.lit(int(lateness_seconds * 1_000_000))
-    return df.join(marks.select(key, F.col("mark").alias("_mark")), key, "left").where(
+    return join_checked(df, marks.select(key, F.col("mark").alias("_mark")), key, "left").where(
         F.col("_mark").isNull() | (C.micros(time) > edge)).drop("_mark")
 
 

@@ -1,81 +1,158 @@
-"""Exact interpolated quantiles of groups of any size.
+"""Exact interpolated quantiles of groups of any size, also over overlapping windows.
 
 The built-in exact percentile keeps all distinct values of a group in one buffer. That is
 right for small groups (the months of a record, the samples of a 13-hour frame) and is
-used there. For raw observations the group is unbounded, so the target ranks are found by
-a histogram first, and only the one bucket that holds a rank is ordered.
+used there. Raw observations are unbounded, so values are first counted in cells. The
+counts say which cell holds a wanted rank, and only rows of such cells are ordered.
+
+Windows overlap: with +/- 7 days every row belongs to 15 groups. It is the cell counts
+that are copied to the 15 groups; of the rows only those in wanted cells are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinewave.config import DEFAULT_SCALE
+from brinewave.functions import columns as C
+from brinewave.operators.sizing import join_checked
+from brinewave.session import cut_lineage
+
+
+@dataclass(frozen=True)
+class Pool:
+    """Rows placed in cells, and the cell counts of every (overlapping) group.
+
+    ``rows``: keys, _m (member), _v, _b (cell). ``cells``: keys, _t (group), _b, _c, _min,
+    _max. ``extent``: keys, _lo, _step, _nb. ``spread`` lists the groups of a member and,
+    being symmetric, the members of a group.
+    """
 
+    keys: tuple
+    rows: DataFrame
+    cells: DataFrame
+    extent: DataFrame
+    spread: Callable[[str], Column]
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, _w): copies collapse map-side, before anything is shuffled."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_w"))
 
+def cell_of(value: str) -> Column:
+    """Cell index on a key's own scale; never decreases as the value grows."""
+    place = F.floor((F.col(value) - F.col("_lo")) / F.col("_step")).cast("int")
+    return F.when(F.col("_step") > 0, F.least(F.col("_nb") - 1, place)).otherwise(F.lit(0))
 
-def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str,
-                    probabilities: Sequence[float], buckets: int | None = None) -> DataFrame:
-    """One row per key with array ``q`` of linear-interpolated quantiles.
 
-    ``counts`` holds weighted values as made by :func:`value_counts`.
+def build_pool(df: DataFrame, keys: Sequence[str], value: str, member: Column | None = None,
+               members: int = 1, spread: Callable[[str], Column] | None = None,
+               ranks: int = 2) -> Pool:
+    """Place rows in cells. ``ranks`` is how many order statistics will be asked for.
+
+    The number of cells per key balances copied counts against fetched rows; it follows
+    the key's own size.
     """
     keys = list(keys)
-    buckets = buckets or DEFAULT_SCALE.quantile_buckets
-    probs = [float(p) for p in probabilities]
-
-    extent = counts.groupBy(*keys).agg(
-        F.sum("_w").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(
-        F.lit(buckets - 1),
-        F.floor((F.col(value) - F.col("_lo")) / width * buckets).cast("int"))).otherwise(0)
-    placed = counts.join(extent, keys).withColumn("_b", bucket)
-
-    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    histogram = (
-        placed.groupBy(*keys, "_b")
-        .agg(F.sum("_w").alias("_bw"), F.first("_n").alias("_n"))
-        .withColumn("_end", F.sum("_bw").over(upto))
-        .withColumn("_start", F.col("_end") - F.col("_bw"))
-    )
-    position = [(F.col("_n") - 1) * F.lit(p) for p in probs]
-    ranks = F.array_distinct(F.flatten(F.array(
-        *[F.array(F.floor(p).cast("long"), F.ceil(p).cast("long")) for p in position])))
-    wanted = (
-        histogram.withColumn("_ranks", F.filter(
-            ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
-        .where(F.size("_ranks") > 0)
-        .select(*keys, "_b", "_start", "_ranks")
+    spread = spread or (lambda c: F.array(F.col(c)))
+    base = df.select(*keys, (F.lit(0) if member is None else member).alias("_m"),
+                     C.clean(value).alias("_v")).where(F.col("_v").isNotNull())
+    cells = F.least(F.lit(DEFAULT_SCALE.quantile_buckets), F.greatest(
+        F.lit(16), F.ceil(F.sqrt(F.col("_n") * (ranks / members))))).cast("int")
+    extent = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    ).withColumn("_nb", cells).withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.col("_nb")).select(
+        *keys, "_lo", "_step", "_nb")
+    extent = cut_lineage(extent)
+    rows = join_checked(base, extent, keys).withColumn("_b", cell_of("_v")).select(*keys, "_m", "_b", "_v")
+    counted = cut_lineage(rows.groupBy(*keys, "_m", "_b").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
+    pooled = counted.withColumn("_t", F.explode(spread("_m"))).groupBy(*keys, "_t", "_b").agg(
+        F.sum("_c").alias("_c"), F.min("_min").alias("_min"), F.max("_max").alias("_max"))
+    return Pool(tuple(keys), rows, pooled, extent, spread)
+
+
+def fetch(pool: Pool, wanted: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """(keys, _t, _v, _c, carry...): values of the wanted (keys, _t, _b), copies counted."""
+    need = wanted.withColumn("_m", F.explode(pool.spread("_t")))
+    found = pool.rows.join(need, [*pool.keys, "_m", "_b"])
+    return found.groupBy(*pool.keys, "_t", "_b", "_v").agg(
+        F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in carry])
+
+
+def _pick(found: DataFrame, keys, probabilities, start: str, partition) -> DataFrame:
+    """Interpolated quantiles from ordered values: row ``_c`` copies starting after ``start``."""
+    upto = W.partitionBy(*partition).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = found.withColumn("_to", F.sum("_c").over(upto) + F.col(start)).withColumn("_rank", F.explode(F.filter(
+        "_ranks", lambda r: (r >= F.col("_to") - F.col("_c")) & (r < F.col("_to")))))
+    # two order statistics per probability and group
+    held = ranked.groupBy(*keys, "_t").agg(
+        F.first("_total").alias("_total"),
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+    out = []
+    for p in probabilities:
+        at = (F.col("_total") - 1) * F.lit(float(p))
+        below = F.element_at("_at", F.floor(at).cast("long"))
+        above = F.element_at("_at", F.ceil(at).cast("long"))
+        out.append(below + (above - below) * (at - F.floor(at)))
+    return held.select(*keys, "_t", F.col("_total").alias("n"), F.array(*out).alias("q"))
+
+
+def _ranks(probabilities) -> Column:
+    at = [(F.col("_total") - 1) * F.lit(float(p)) for p in probabilities]
+    return F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor(a).cast("long"), F.ceil(a).cast("long")) for a in at])))
+
+
+def pool_quantiles(pool: Pool, probabilities: Sequence[float]) -> DataFrame:
+    """(keys, _t, n, q): ``q`` holds the quantiles of each group."""
+    keys = list(pool.keys)
+    group = W.partitionBy(*keys, "_t")
+    placed = (
+        pool.cells.withColumn("_end", F.sum("_c").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("_total", F.sum("_c").over(group))
+        .withColumn("_start", F.col("_end") - F.col("_c"))
+        .withColumn("_ranks", F.filter(_ranks(probabilities), lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
     )
-    within = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    found = (
-        placed.join(wanted, [*keys, "_b"])
-        .withColumn("_to", F.sum("_w").over(within) + F.col("_start"))
-        .withColumn("_rank", F.explode(F.filter(
-            "_ranks", lambda r: (r >= F.col("_to") - F.col("_w")) & (r < F.col("_to")))))
+    wanted = placed.where(F.size("_ranks") > 0).select(*keys, "_t", "_b", "_start", "_total", "_ranks")
+    found = fetch(pool, wanted, ["_start", "_total", "_ranks"])
+    return _pick(found, keys, probabilities, "_start", [*keys, "_t", "_b"])
+
+
+def pool_deviation(pool: Pool, centre: DataFrame) -> DataFrame:
+    """(keys, _t, spread): median of |v - centre| per group; ``centre`` has (keys, _t, centre).
+
+    The smallest and largest value of a cell bound its deviations. The bounds enclose the
+    median; cells wholly below are counted, cells wholly above ignored, the rest fetched.
+    """
+    keys = list(pool.keys)
+    low = F.greatest(F.lit(0.0), F.col("_min") - F.col("centre"), F.col("centre") - F.col("_max"))
+    high = F.greatest(F.abs(F.col("_min") - F.col("centre")), F.abs(F.col("_max") - F.col("centre")))
+    group = W.partitionBy(*keys, "_t")
+    bounded = (
+        pool.cells.join(centre, [*keys, "_t"]).withColumn("_low", low).withColumn("_high", high)
+        .withColumn("_total", F.sum("_c").over(group))
+        .withColumn("_ranks", _ranks([0.5]))
+        .withColumn("_sure", F.sum("_c").over(group.orderBy("_high").rangeBetween(W.unboundedPreceding, 0)))
+        .withColumn("_atleast", F.sum("_c").over(group.orderBy(F.desc("_low")).rangeBetween(W.unboundedPreceding, 0)))
     )
-    at_rank = found.groupBy(*keys).agg(
-        F.first("_n").alias("_n"),
-        F.map_from_entries(F.collect_list(F.struct("_rank", value))).alias("_at"))
-    picked = []
-    for p in position:
-        low, high = F.floor(p).cast("long"), F.ceil(p).cast("long")
-        share = p - F.floor(p)
-        below, above = F.element_at("_at", low), F.element_at("_at", high)
-        picked.append(below + (above - below) * share)
-    return at_rank.select(*keys, F.col("_n").alias("n"), F.array(*picked).alias("q"))
+    upper = F.min(F.when(F.col("_sure") >= F.array_max("_ranks") + 1, F.col("_high"))).over(group)
+    lower = F.max(F.when(F.col("_atleast") >= F.col("_total") - F.array_min("_ranks"), F.col("_low"))).over(group)
+    bounded = bounded.withColumn("_u", upper).withColumn("_l", lower)
+    bounded = bounded.withColumn("_start", F.sum(F.when(F.col("_high") < F.col("_l"), F.col("_c")).otherwise(0)).over(group))
+    wanted = bounded.where((F.col("_high") >= F.col("_l")) & (F.col("_low") <= F.col("_u"))).select(
+        *keys, "_t", "_b", "_start", "_total", "_ranks", "centre")
+    found = fetch(pool, wanted, ["_start", "_total", "_ranks", "centre"])
+    deviations = found.withColumn("_d", F.abs(F.col("_v") - F.col("centre"))).groupBy(*keys, "_t", "_d").agg(
+        F.sum("_c").alias("_c"), F.first("_start").alias("_start"), F.first("_total").alias("_total"),
+        F.first("_ranks").alias("_ranks")).withColumnRenamed("_d", "_v")
+    return _pick(deviations, keys, [0.5], "_start", [*keys, "_t"]).select(
+        *keys, "_t", F.element_at("q", 1).alias("spread"))
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probabilities: Sequence[float], buckets: int | None = None) -> DataFrame:
-    return exact_quantiles(value_counts(df, keys, value), keys, value, probabilities, buckets)
+                    probabilities: Sequence[float]) -> DataFrame:
+    """(keys, n, q) for plain groups."""
+    pool = build_pool(df, keys, value, ranks=2 * len(probabilities))
+    return pool_quantiles(pool, probabilities).drop("_t")

@@ -17,7 +17,9 @@ from brinewave.config import (
 )
 from brinewave.functions import columns as C
 from brinewave.operators import chunked
-from brinewave.operators.quantile import exact_quantiles
+from brinewave.operators.quantile import build_pool, pool_deviation, pool_quantiles
+from brinewave.operators.sizing import join_checked
+from brinewave.session import cut_lineage
 
 
 def fill_absent(df: DataFrame, names=SCIENCE) -> DataFrame:
@@ -100,7 +102,7 @@ def blank_copied_channels(df: DataFrame, key: str = "deployment", channels=CHANN
                           min_shared: int = 10) -> DataFrame:
     present = [n for n in channels if n in df.columns]
     verdict = copied_channels(df, key, present, min_shared)
-    out = df.join(verdict, key, "left")
+    out = join_checked(df, verdict, key, "left")
     return out.withColumns({n: F.when(~F.col(f"_copy_{n}"), F.col(n)) for n in present}).drop(
         *[f"_copy_{n}" for n in present])
 
@@ -146,28 +148,13 @@ def despike(df: DataFrame, key: str = "site", time: str = "time", value: str = "
 
 def yearday_scale(df: DataFrame, key: str = "site", time: str = "time", value: str = "value",
                   cfg: ScreenConfig = ScreenConfig()) -> DataFrame:
-    """(key, yearday, centre, scale): median and scaled MAD of the pooled +/- window.
-
-    Values are counted per (key, yearday, value) before they fan out over the window, so
-    what is shuffled is distinct values, not raw rows.
-    """
-    counts = (
-        df.where(C.clean(value).isNotNull())
-        .withColumn("_yd", C.yearday(time))
-        .groupBy(key, "_yd", value).agg(F.count(F.lit(1)).alias("_w"))
-    )
-    pooled = counts.withColumn("yearday", F.explode(C.circular_days("_yd", cfg.window_days)))
-    pooled = pooled.groupBy(key, "yearday", value).agg(F.sum("_w").alias("_w"))
-    centre = exact_quantiles(pooled, [key, "yearday"], value, [0.5]).select(
-        key, "yearday", F.element_at("q", 1).alias("centre"))
-    spread = (
-        pooled.join(centre, [key, "yearday"])
-        .withColumn("_dev", F.abs(F.col(value) - F.col("centre")))
-        .groupBy(key, "yearday", "_dev").agg(F.sum("_w").alias("_w"))
-    )
-    scale = exact_quantiles(spread, [key, "yearday"], "_dev", [0.5]).select(
-        key, "yearday", (F.element_at("q", 1) * cfg.mad_scale).alias("scale"))
-    return centre.join(scale, [key, "yearday"])
+    """(key, yearday, centre, scale): median and scaled MAD of the pooled +/- window."""
+    pool = build_pool(df, [key], value, C.yearday(time), 365,
+                      lambda c: C.circular_days(c, cfg.window_days), ranks=2)
+    centre = cut_lineage(pool_quantiles(pool, [0.5]).select(key, "_t", F.element_at("q", 1).alias("centre")))
+    spread = pool_deviation(pool, centre)
+    return centre.join(spread, [key, "_t"]).select(
+        key, F.col("_t").alias("yearday"), "centre", (F.col("spread") * cfg.mad_scale).alias("scale"))
 
 
 def drop_yearday_outliers(df: DataFrame, key: str = "site", time: str = "time",
@@ -176,8 +163,7 @@ def drop_yearday_outliers(df: DataFrame, key: str = "site", time: str = "time",
     scale = yearday_scale(df, key, time, value, cfg)
     far = F.abs(F.col(value) - F.col("centre")) > F.col("scale") * cfg.sds
     return (
-        df.withColumn("yearday", C.yearday(time))
-        .join(scale, [key, "yearday"], "left")
+        join_checked(df.withColumn("yearday", C.yearday(time)), scale, [key, "yearday"], "left")
         .where(~F.coalesce(far, F.lit(False)))
         .select(*df.columns)
     )

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinewave.config import YeardayConfig
 from brinewave.functions import columns as C
-from brinewave.operators.quantile import exact_quantiles
+from brinewave.operators.quantile import build_pool, cell_of, fetch, group_quantiles, pool_quantiles
+from brinewave.operators.sizing import join_checked
 
 
 def _day_stats(df, key, time, value):
@@ -21,15 +23,9 @@ def _day_stats(df, key, time, value):
     )
 
 
-def pooled_counts(df: DataFrame, key: str = "site", time: str = "time", value: str = "value",
-                  window_days: int = 7) -> DataFrame:
-    """Weighted values of every circular window, counted before the fan-out."""
-    counts = (
-        df.where(C.clean(value).isNotNull())
-        .groupBy(key, C.yearday(time).alias("_yd"), value).agg(F.count(F.lit(1)).alias("_w"))
-    )
-    pooled = counts.withColumn("yearday", F.explode(C.circular_days("_yd", window_days)))
-    return pooled.groupBy(key, "yearday", value).agg(F.sum("_w").alias("_w"))
+def _pool(df, key, time, value, window_days, ranks):
+    return build_pool(df, [key], value, C.yearday(time), 365,
+                      lambda c: C.circular_days(c, window_days), ranks)
 
 
 def pooled_moments(df: DataFrame, key: str = "site", time: str = "time", value: str = "value",
@@ -102,9 +98,9 @@ def build_climatology(df: DataFrame, key: str = "site", time: str = "time",
     clim = with_bounds(smooth(moments, key, cfg.smooth_days))
     if not percentiles:
         return clim
-    pooled = pooled_counts(df, key, time, value, cfg.window_days)
-    ranked = exact_quantiles(pooled, [key, "yearday"], value,
-                             [p / 100 for p in cfg.percentiles]).drop("n")
+    pool = _pool(df, key, time, value, cfg.window_days, 2 * len(cfg.percentiles))
+    ranked = pool_quantiles(pool, [p / 100 for p in cfg.percentiles]).select(
+        key, F.col("_t").alias("yearday"), "q")
     enough = F.col("n_years") >= cfg.min_years
     return clim.join(ranked, [key, "yearday"], "left").withColumns({
         f"p{p:02d}": F.when(enough, F.element_at("q", i + 1))
@@ -117,8 +113,7 @@ def classify_series(clim: DataFrame, obs: DataFrame, key: str = "site", time: st
     ref = clim.select(key, "yearday", F.col("mean").alias("clim_mean"), F.col("sd").alias("clim_sd"))
     z = F.col("anomaly") / F.nullif(F.col("clim_sd"), F.lit(0.0))
     return (
-        obs.withColumn("yearday", C.yearday(time))
-        .join(ref, [key, "yearday"], "left")
+        join_checked(obs.withColumn("yearday", C.yearday(time)), ref, [key, "yearday"], "left")
         .withColumn("anomaly", F.col(value) - F.col("clim_mean"))
         .withColumn("z", z)
         .withColumn("band", C.sigma_band("z"))
@@ -156,49 +151,36 @@ def window_rank(readings: DataFrame, obs: DataFrame, key: str = "site", time: st
                 value: str = "value", window_days: int = 7) -> DataFrame:
     """(reading_id, percentile, n_compared, window_min, window_max).
 
-    Neither readings nor history is paired value by value. Both are laid on one axis per
-    (key, window day), cut into value cells; counts of the lower cells come from a prefix
-    sum over cells, and only rows of the same cell are ordered together.
+    Readings and history are never paired value by value. Both are placed in value cells
+    per (key, window day): lower cells count as a whole through a prefix sum, and only
+    rows in a reading's own cell are fetched and ordered with it.
     """
-    hist = (
-        obs.where(C.clean(value).isNotNull())
-        .groupBy(key, C.yearday(time).alias("_yd"), F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_w"))
-    )
-    days = readings.select(key, C.yearday(time).alias("yearday")).distinct()
-    needed = days.withColumn("_yd", F.explode(C.circular_days("yearday", window_days)))
-    pooled = hist.join(needed, [key, "_yd"]).groupBy(key, "yearday", "_v").agg(
-        F.sum("_w").alias("_w"))
-    extent = pooled.groupBy(key, "yearday").agg(
-        F.sum("_w").alias("n_compared"), F.min("_v").alias("window_min"),
-        F.max("_v").alias("window_max"))
-    marks = readings.select("reading_id", key, C.yearday(time).alias("yearday"),
-                            F.col(value).alias("_v"))
-    axis = pooled.select(key, "yearday", "_v", "_w", F.lit(None).cast(
-        readings.schema["reading_id"].dataType).alias("reading_id")).unionByName(
-        marks.withColumn("_w", F.lit(0).cast("long")))
-    width = F.col("window_max") - F.col("window_min")
-    cell = F.when(width > 0, F.greatest(F.lit(-1), F.least(F.lit(1024), F.floor(
-        (F.col("_v") - F.col("window_min")) / width * 1024).cast("int")))).otherwise(
-        F.when(F.col("_v") < F.col("window_min"), -1)
-        .when(F.col("_v") > F.col("window_max"), 1024).otherwise(0))
-    placed = axis.join(extent, [key, "yearday"]).withColumn("_b", cell)
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy(key, "yearday").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    pool = _pool(obs, key, time, value, window_days, 2)
+    marks = readings.select("reading_id", key, C.yearday(time).alias("_t"), F.col(value).alias("_v"))
+    marks = join_checked(marks, pool.extent, [key]).withColumn("_b", F.greatest(F.lit(-1), F.when(
+        F.col("_step") > 0, cell_of("_v")).otherwise(F.when(F.col("_v") < F.col("_lo"), -1).otherwise(
+            F.when(F.col("_v") > F.col("_lo"), 1).otherwise(0))))).drop("_lo", "_step", "_nb")
+    spots = marks.select(key, "_t", "_b", "_v").distinct()
+    days = spots.select(key, "_t").distinct()
+    group = W.partitionBy(key, "_t")
+    cells = pool.cells.join(days, [key, "_t"], "left_semi")
+    totals = cells.groupBy(key, "_t").agg(F.sum("_c").alias("n_compared"), F.min("_min").alias("window_min"),
+                                          F.max("_max").alias("window_max"))
+    asked = spots.select(key, "_t", "_b").distinct()
     base = (
-        placed.groupBy(key, "yearday", "_b").agg(F.sum("_w").alias("_t"))
-        .withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+        cells.select(key, "_t", "_b", "_c").unionByName(asked.withColumn("_c", F.lit(0).cast("long")))
+        .groupBy(key, "_t", "_b").agg(F.sum("_c").alias("_c"))
+        .withColumn("_base", F.sum("_c").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c"))
+        .drop("_c")
     )
-    # values strictly below: the frame ends just before the peers of the reading
-    peers = W.partitionBy(key, "yearday", "_b").orderBy("_v")
-    upto = peers.rangeBetween(W.unboundedPreceding, W.currentRow)
-    same = W.partitionBy(key, "yearday", "_b", "_v")
+    peers = W.partitionBy(key, "_t", "_b")
+    near = fetch(pool, asked, []).unionByName(spots.withColumn("_c", F.lit(0).cast("long")))
+    near = near.groupBy(key, "_t", "_b", "_v").agg(F.sum("_c").alias("_c"))
+    below = near.withColumn("_lower", F.sum("_c").over(
+        peers.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).drop("_c")
     return (
-        placed.join(base, [key, "yearday", "_b"])
-        .withColumn("_below", F.col("_base") + F.sum("_w").over(upto) - F.sum("_w").over(same))
-        .where(F.col("reading_id").isNotNull())
-        .select("reading_id", (F.col("_below") / F.col("n_compared") * 100).alias("percentile"),
+        marks.join(below, [key, "_t", "_b", "_v"]).join(base, [key, "_t", "_b"]).join(totals, [key, "_t"])
+        .select("reading_id", ((F.col("_base") + F.col("_lower")) / F.col("n_compared") * 100).alias("percentile"),
                 "n_compared", "window_min", "window_max")
     )
 
@@ -258,8 +240,6 @@ def overlay_year(df: DataFrame, key: str = "site", time: str = "time",
 
 def site_position(rows: DataFrame, key: str = "site") -> DataFrame:
     """Median position and water depth of a mooring; longitude is written west-positive."""
-    from brinewave.operators.quantile import group_quantiles
-
     def median(name, out):
         return group_quantiles(rows, [key], name, [0.5]).select(
             key, F.element_at("q", 1).alias(out))
