@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brinewave.config import Box
 from brinewave.functions import columns as C
 from brinewave.operators import catalogue as K
+from brinewave.operators import chunked
 from brinewave.operators import monthly as M
 from brinewave.operators import sequences as Q
 from brinewave.plans.registry import query
@@ -183,7 +184,7 @@ def take(path, kind="string"):
 SELECT name, count(*) AS n_points, round(max(lon) FILTER (rn = 1), 5) AS first_lon, round(max(lat) FILTER (rn = 1), 5) AS first_lat,
   'LineString' AS kind FROM s GROUP BY name HAVING count(*) >= 2""")
 def _(v):
-    tracks = v.vertices.withColumn("seq", F.struct("time", "lon", "lat"))
+    tracks = chunked.with_row_number(v.vertices, ["name"], ["time", "lon", "lat"], "seq", 3660 * 86_400)
     names = v.vertices.select("name").distinct().select("name", F.substring_index("name", "x", 1).alias("glider"),
                                                         F.lit("survey").alias("project"))
     made = features.track_lines(tracks, names)

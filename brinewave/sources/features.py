@@ -1,7 +1,7 @@
 """Feature sinks: rows to GeoJSON features, and all-or-nothing publication.
 
-Every feature is one row of JSON text. A track's vertices are gathered because the track
-is one feature; they are reduced to distinct rounded vertices first.
+Every feature is one row of JSON text. The vertices of a track are gathered because the
+track is one feature; very long tracks are cut into parts, so a row stays bounded.
 """
 
 from __future__ import annotations
@@ -12,36 +12,52 @@ from pyspark.sql import functions as F
 from brinewave.config import STUDY_BOX, Box
 from brinewave.functions import columns as C
 from brinewave.functions import geometry as G
+from brinewave.operators import chunked
+
+
+MAX_POINTS = 1_000_000
 
 
 def track_lines(vertices: DataFrame, deployments: DataFrame, box: Box | None = STUDY_BOX,
-                places: int = 5, properties=("glider", "project")) -> DataFrame:
-    """(name, feature) LineString per deployment; fewer than two points make no line."""
+                places: int = 5, properties=("glider", "project"), max_points: int = MAX_POINTS) -> DataFrame:
+    """(name, part, feature) LineString per deployment; fewer than two points make no line.
+
+    ``seq`` is the vertex position. A track longer than ``max_points`` becomes several
+    lines that share their end vertex, so no vertex is lost and no row grows without bound.
+    """
     inside = vertices if box is None else vertices.where(C.in_box("lon", "lat", box))
-    lines = inside.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(
+    own = F.floor(F.col("seq") / max_points)
+    shared = (F.col("seq") % max_points == 0) & (F.col("seq") > 0)
+    cut = inside.withColumn("part", F.explode(F.when(shared, F.array(own - 1, own)).otherwise(F.array(own))))
+    lines = cut.groupBy("name", "part").agg(F.array_sort(F.collect_list(F.struct(
         "seq", C.tidy_round("lon", places).alias("x"), C.tidy_round("lat", places).alias("y")))).alias("_p"))
     lines = lines.where(F.size("_p") >= 2).withColumn(
         "coordinates", F.transform("_p", lambda p: F.array(p["x"], p["y"])))
-    return lines.join(deployments, "name").select("name", F.to_json(G.feature(
+    return lines.join(deployments, "name").select("name", "part", F.to_json(G.feature(
         "LineString", F.col("coordinates"),
         F.struct("name", *properties, F.size("coordinates").alias("n_points")))).alias("feature"))
 
 
-def profile_points(fixes: DataFrame, places: int = 5, key: str = "deployment") -> DataFrame:
-    """(key, n_points, first_profile, last_profile, feature) MultiPoint with parallel times.
+def profile_points(fixes: DataFrame, places: int = 5, key: str = "deployment",
+                   max_points: int = MAX_POINTS) -> DataFrame:
+    """(key, part, n_points, first_profile, last_profile, feature) MultiPoint with parallel times.
 
-    One timestamp per coordinate in the same order, both from one ordered array.
+    One timestamp per coordinate in the same order, both from one ordered array. A
+    deployment beyond ``max_points`` is several features, cut in time order.
     """
-    rows = fixes.where(C.clean("lon").isNotNull() & C.clean("lat").isNotNull()).groupBy(key).agg(
+    held = fixes.where(C.clean("lon").isNotNull() & C.clean("lat").isNotNull())
+    numbered = chunked.with_row_number(held, [key], ["time", "lon", "lat"], "_row")
+    rows = numbered.withColumn("part", F.floor((F.col("_row") - 1) / max_points)).groupBy(key, "part").agg(
         F.array_sort(F.collect_list(F.struct("time", C.tidy_round("lon", places).alias("x"),
                                              C.tidy_round("lat", places).alias("y")))).alias("_p"))
     stamp = "yyyy-MM-dd'T'HH:mm"
     times = F.transform("_p", lambda p: F.date_format(p["time"], stamp))
     shaped = rows.select(
-        key, F.size("_p").alias("n_points"), times.alias("times"),
+        key, "part", F.size("_p").alias("n_points"), times.alias("times"),
         F.transform("_p", lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
     return shaped.select(
-        key, "n_points", F.element_at("times", 1).alias("first_profile"), F.element_at("times", -1).alias("last_profile"),
+        key, "part", "n_points", F.element_at("times", 1).alias("first_profile"),
+        F.element_at("times", -1).alias("last_profile"),
         F.to_json(G.feature("MultiPoint", F.col("coordinates"), F.struct(
             F.col(key), C.glider_of(key).alias("glider"), "n_points", "times"))).alias("feature"))
 
