@@ -10,6 +10,8 @@ from brinewave.config import GridConfig
 from brinewave.functions import columns as C
 from brinewave.functions import geometry as G
 from brinewave.operators.components import connected_components
+from brinewave.operators.sizing import join_checked, small
+from brinewave.session import cut_lineage
 
 
 def axis_of(grid: DataFrame, index: str, centre: str) -> DataFrame:
@@ -48,8 +50,9 @@ def water_components(grid: DataFrame) -> DataFrame:
     The graph is built on horizontal runs, far fewer than cells; two runs touch where a
     cell has its neighbour in the next row.
     """
-    runs = row_runs(ever_water(grid)).select(
-        "i", "j", F.struct(F.col("i").cast("long").alias("i"), F.col("run_start").cast("long").alias("j")).alias("run"))
+    # a run is named by its first cell, row above column, in one LONG
+    runs = cut_lineage(row_runs(ever_water(grid)).select(
+        "i", "j", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("run_start")).alias("run")))
     below = runs.select((F.col("i") - 1).alias("i"), "j", F.col("run").alias("b"))
     edges = runs.join(below, ["i", "j"]).select(F.col("run").alias("a"), "b").distinct()
     labels = connected_components(runs.select(F.col("run").alias("node")).distinct(), edges)
@@ -123,7 +126,7 @@ def mask_in_cells(cells: DataFrame, mask: DataFrame, cfg: GridConfig = GridConfi
                  "lat", "south", "north", "i")
     cols = owner(mask.select("c", "lon").distinct(), cells.select("j", "west", "east").distinct(),
                  "lon", "west", "east", "j")
-    placed = mask.join(rows, "r").join(cols, "c")
+    placed = join_checked(join_checked(mask, rows.select("r", "i"), ["r"]), cols.select("c", "j"), ["c"])
     return placed.join(cells.select("i", "j").distinct(), ["i", "j"], "left_semi")
 
 
@@ -133,19 +136,20 @@ def clip_parts(cells: DataFrame, mask: DataFrame, cfg: GridConfig = GridConfig()
     All water or outside the mask: the cell itself. No water: no row. Mixed: merged runs,
     clamped to the cell, rounded, the collapsed ones dropped.
     """
-    placed = mask_in_cells(cells, mask, cfg)
-    cover = placed.groupBy("i", "j").agg(
-        F.count(F.lit(1)).alias("n_pixels"), F.count_if("water").alias("n_water"))
-    bounds = cells.select("i", "j", "south", "north", "west", "east").distinct().join(
-        cover, ["i", "j"], "left")
-    whole = bounds.where(F.col("n_pixels").isNull() | (F.col("n_water") == F.col("n_pixels"))).select(
+    # one exchange on the cell serves the counts, both run windows and both groupings;
+    # a cell holds a fixed number of mask pixels
+    each = W.partitionBy("i", "j")
+    placed = mask_in_cells(cells, mask, cfg).select("i", "j", "r", "c", "water").repartition("i", "j")
+    placed = placed.withColumn("_np", F.count(F.lit(1)).over(each)).withColumn(
+        "_nw", F.count_if("water").over(each))
+    cover = placed.groupBy("i", "j").agg(F.first("_np").alias("n_pixels"), F.first("_nw").alias("n_water"))
+    bounds = cells.select("i", "j", "south", "north", "west", "east").distinct()
+    whole = bounds.join(cover, ["i", "j"], "left").where(
+        F.col("n_pixels").isNull() | (F.col("n_water") == F.col("n_pixels"))).select(
         "i", "j", F.col("south").alias("s"), F.col("north").alias("n"), F.col("west").alias("w"), F.col("east").alias("e"))
-    mixed = bounds.where((F.col("n_water") > 0) & (F.col("n_water") < F.col("n_pixels"))).select(
-        "i", "j", "south", "north", "west", "east")
-    wet = placed.where("water").join(mixed.select("i", "j"), ["i", "j"], "left_semi").select("i", "j", "r", "c")
-    boxes = merge_runs(wet)
-    lat = axis_edges(mask.select(F.col("r").alias("idx"), F.col("lat").alias("centre")).distinct())
-    lon = axis_edges(mask.select(F.col("c").alias("idx"), F.col("lon").alias("centre")).distinct())
+    boxes = merge_runs(placed.where(F.col("water") & (F.col("_nw") < F.col("_np"))).select("i", "j", "r", "c"))
+    lat = small(axis_edges(mask.select(F.col("r").alias("idx"), F.col("lat").alias("centre")).distinct()))
+    lon = small(axis_edges(mask.select(F.col("c").alias("idx"), F.col("lon").alias("centre")).distinct()))
     sized = (
         boxes.join(lat.select(F.col("idx").alias("r0"), F.col("lo").alias("_s")), "r0")
         .withColumn("_r", F.col("r1") - 1)
@@ -153,7 +157,7 @@ def clip_parts(cells: DataFrame, mask: DataFrame, cfg: GridConfig = GridConfig()
         .join(lon.select(F.col("idx").alias("c0"), F.col("lo").alias("_w")), "c0")
         .withColumn("_c", F.col("c1") - 1)
         .join(lon.select(F.col("idx").alias("_c"), F.col("hi").alias("_e")), "_c")
-        .join(mixed, ["i", "j"])
+        .join(bounds, ["i", "j"])
     )
     d = cfg.decimals
     parts = sized.select(

@@ -10,14 +10,17 @@ from brinewave.session import cut_lineage
 BROADCAST_ROWS = 200_000
 
 
+def small(summary: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a narrow summary out, count it, and mark it for broadcast up to ``limit`` rows."""
+    held = cut_lineage(summary)
+    return F.broadcast(held) if held.count() <= limit else held
+
+
 def join_checked(big: DataFrame, summary: DataFrame, keys, how: str = "inner",
                  limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large table to a narrow per-key summary.
 
-    The summary is written out and counted. Up to ``limit`` rows it is broadcast, and the
-    large side is not shuffled; beyond that the join is left to shuffle, where skewed keys
-    are split at run time.
+    Up to ``limit`` rows the summary is broadcast, and the large side is not shuffled;
+    beyond that the join is left to shuffle, where skewed keys are split at run time.
     """
-    held = cut_lineage(summary)
-    small = held.count() <= limit
-    return big.join(F.broadcast(held) if small else held, keys, how)
+    return big.join(small(summary, limit), keys, how)

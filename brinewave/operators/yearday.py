@@ -124,20 +124,19 @@ def classify_series(clim: DataFrame, obs: DataFrame, key: str = "site", time: st
 
 def score_readings(readings: DataFrame, clim: DataFrame, obs: DataFrame, key: str = "site",
                    time: str = "time", value: str = "value",
-                   window_days: int = 7) -> DataFrame:
+                   window_days: int = 7, strict: bool = True) -> DataFrame:
     """Score readings with anomaly, z, band, and percentile rank in the pooled window.
 
     ``readings`` needs ``reading_id``. A reading without a usable climatology is an error
-    when its row is evaluated. The rank reads the record once for all readings: history
+    when its row is evaluated; without ``strict`` it keeps a null score. The rank reads the record once for all readings: history
     is counted per (key, yearday, value) and joined on the days a reading needs.
     """
     ref = clim.select(key, "yearday", F.col("mean").alias("clim_mean"), F.col("sd").alias("clim_sd"),
                       "lo1", "hi1", "lo2", "hi2")
+    unusable = F.raise_error(F.format_string("no usable climatology for yearday %d", "yearday")) if strict else F.lit(None)
     scored = (
         readings.withColumn("yearday", C.yearday(time)).join(ref, [key, "yearday"], "left")
-        .withColumn("clim_sd", F.when(F.col("clim_sd") > 0, F.col("clim_sd")).otherwise(
-            F.raise_error(F.format_string("no usable climatology for yearday %d", "yearday"))
-            .cast("double")))
+        .withColumn("clim_sd", F.when(F.col("clim_sd") > 0, F.col("clim_sd")).otherwise(unusable.cast("double")))
         .withColumn("anomaly", F.col(value) - F.col("clim_mean"))
         .withColumn("z", F.col("anomaly") / F.col("clim_sd"))
         .withColumn("band", C.sigma_band("z"))

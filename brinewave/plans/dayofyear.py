@@ -104,9 +104,10 @@ def readings(v):
 SELECT reading_id, r.site, r.yearday, round(r.value - c.mean, 6) + 0.0 AS anomaly, round((r.value - c.mean) / c.sd, 6) + 0.0 AS z,
     cast(CASE WHEN abs((r.value - c.mean) / c.sd) <= 1 THEN 0 WHEN abs((r.value - c.mean) / c.sd) <= 2 THEN 1 ELSE 2 END AS bigint) AS band,
     round(b * 100.0 / n_compared, 6) AS percentile, n_compared, round(window_min, 6) AS window_min, round(window_max, 6) AS window_max
-FROM r JOIN clim c ON c.site = r.site AND c.yearday = r.yearday JOIN below USING (reading_id)""")
+FROM r JOIN clim c ON c.site = r.site AND c.yearday = r.yearday JOIN below USING (reading_id) WHERE c.sd > 0""")
 def _(v):
-    scored = Y.score_readings(readings(v), station_clim(v, False), v.station)
+    scored = Y.score_readings(readings(v), station_clim(v, False), v.station, strict=False).where(
+        F.col("clim_sd").isNotNull())
     return scored.select("reading_id", "site", "yearday", "anomaly", "z", "band", "percentile", "n_compared",
                          "window_min", "window_max")
 

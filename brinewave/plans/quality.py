@@ -111,14 +111,14 @@ def _(v):
     "flagged cells are a subset of ocean": "true", "flagged set is a small minority": "k < n * 0.05",
     "flagged water is in the north": "k = 0 OR south > 49"}))
 def _(v):
-    return verdicts(checks.check_flags(v.grid, R.flag_disconnected(v.grid)))
+    return verdicts(checks.check_flags(v.stored("grid"), R.flag_disconnected(v.stored("grid"))))
 
 
 @query("check_polygons", "Q9 R2 R6", "grid", sql_rows("features", "(SELECT 1)", {n: "true" for n in (
     "one feature per ocean cell", "every ring is closed", "every polygon is a closed quad", "every feature carries its properties",
     "no NaN leaked into properties", "cell centre falls inside its own polygon", "coordinates are [lon, lat] order")}))
 def _(v):
-    return verdicts(checks.check_polygons(R.cell_polygons(v.grid, cfg=CFG), newest(v.grid)))
+    return verdicts(checks.check_polygons(cut_lineage(R.cell_polygons(v.stored("grid"), cfg=CFG)), newest(v.stored("grid"))))
 
 
 @query("check_clipped", "Q10 A32 A33", "grid mask", CLIP_SQL + """
@@ -139,7 +139,7 @@ def _(v):
     "almost no land is painted after clipping": "af < 0.005", "few parts per cell": "mp < 2"}))
 def _(v):
     rect = cut_lineage(rectangles(v))
-    mask = v.mask
+    mask = v.stored("mask")
     parts = cut_lineage(R.clip_parts(rect, mask, CFG))
     return verdicts(checks.check_clipped(rect, parts, mask, margin=0.0003))
 
@@ -148,7 +148,7 @@ def _(v):
     "covers exactly the grid's dates", "default date is the newest", "feature count matches a fresh build",
     "every feature carries its properties", "geometry is clipped", "carries color_range", "carries source_caveat")}))
 def _(v):
-    grid, mask = v.grid, v.mask
+    grid, mask = v.stored("grid"), v.stored("mask")
     flags = cut_lineage(R.flag_disconnected(grid))
     layer = cut_lineage(R.polygons_of(grid, grid, CFG, mask, flags))
     meta = cut_lineage(features.layer_metadata(layer, color_range="10..20", source_caveat="analysis"))

@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 from brinewave.plans.views import edge, view, with_views
+from brinewave.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,9 +24,17 @@ class Frames:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+        self._stored: dict[str, DataFrame] = {}
+
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.folder, name)
 
+    def stored(self, name: str) -> DataFrame:
+        """The view written out once, for queries that read it many times."""
+        if name not in self._stored:
+            self._stored[name] = cut_lineage(view(self.spark, self.folder, name))
+        return self._stored[name]
+
 
 def query(name: str, covers: str, views: str = "", sql: str | None = None):
     """Register a query. ``views`` names the views its SQL starts from; ``sql`` continues

@@ -130,7 +130,7 @@ def _(v):
     return P.same_cell(moved, cells.drop("i"), "key")
 
 
-REGION = Box(-126.7, -126.4, 40.05, 40.35)
+REGION = Box(-126.7, -126.4, 40.01, 40.35)
 PRODUCTS_SQL = """
 , pr AS (SELECT source AS product, date, i, j, lat, lon, value FROM grid)"""
 
@@ -142,14 +142,14 @@ def products(v):
 @query("region_statistics", "A27", "grid", PRODUCTS_SQL + """
 SELECT product, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS low,
        round(max(value), 6) AS high, round(max(value) - min(value), 6) AS "range" FROM pr
-WHERE lon BETWEEN -126.7 AND -126.4 AND lat BETWEEN 40.05 AND 40.35 AND value IS NOT NULL GROUP BY product""")
+WHERE lon BETWEEN -126.7 AND -126.4 AND lat BETWEEN 40.01 AND 40.35 AND value IS NOT NULL GROUP BY product""")
 def _(v):
     return P.region_stats(products(v), box=REGION)
 
 
 @query("product_variability", "A27", "grid", PRODUCTS_SQL + """
 , st AS (SELECT product, count(value) AS n, stddev_pop(value) AS std FROM pr
-  WHERE lon BETWEEN -126.7 AND -126.4 AND lat BETWEEN 40.05 AND 40.35 AND value IS NOT NULL GROUP BY product)
+  WHERE lon BETWEEN -126.7 AND -126.4 AND lat BETWEEN 40.01 AND 40.35 AND value IS NOT NULL GROUP BY product)
 SELECT round(f.std / c.std, 6) AS std_ratio, round(f.n * 1.0 / c.n, 6) AS pixel_ratio,
        CASE WHEN f.std / c.std < 0.6 THEN 'interpolation' WHEN f.std / c.std > 0.9 THEN 'signal' ELSE 'intermediate' END AS verdict
 FROM st f, st c WHERE f.product = 'prelim' AND c.product = 'final'""")
@@ -166,8 +166,8 @@ SELECT f.product, cast(any_value(used) AS string) AS newest, cast(any_value(used
    date_diff('day', any_value(used), DATE '2002-01-01') AS lag_days,
    count(DISTINCT f.lat) AS n_lat, count(DISTINCT f.lon) AS n_lon, count(*) AS n_cells, count(value) AS n_ocean,
    count(*) - count(value) AS n_land,
-   count(*) FILTER (lon BETWEEN -126.7 AND -126.4 AND lat BETWEEN 40.05 AND 40.35) AS region_cells,
-   count(value) FILTER (lon BETWEEN -126.7 AND -126.4 AND lat BETWEEN 40.05 AND 40.35) AS region_ocean,
+   count(*) FILTER (lon BETWEEN -126.7 AND -126.4 AND lat BETWEEN 40.01 AND 40.35) AS region_cells,
+   count(value) FILTER (lon BETWEEN -126.7 AND -126.4 AND lat BETWEEN 40.01 AND 40.35) AS region_ocean,
    round(min(value), 6) AS low, round(max(value), 6) AS high,
    round((SELECT median(s) FROM ax WHERE ax.product = f.product) * 110.57, 6) AS cell_km_lat,
    round((SELECT median(s) FROM ay WHERE ay.product = f.product) * 111.32
