@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinewave.config import Completeness, Thresholds
@@ -26,8 +27,16 @@ def climatology(monthly: DataFrame, key: str = "site") -> DataFrame:
 
 
 def anomalies(monthly: DataFrame, clim: DataFrame | None = None, key: str = "site") -> DataFrame:
-    """Add ``clim`` and ``anom``; months that are not usable keep a null anomaly."""
-    clim = climatology(monthly, key) if clim is None else clim
+    """Add ``clim`` and ``anom``; months that are not usable keep a null anomaly.
+
+    Without a given climatology it is taken in place: the months of one record are few
+    (a thousand in a century), so one exchange on the key serves all windows over them.
+    """
+    if clim is None:
+        same_month = W.partitionBy(key, F.month("month"))
+        return monthly.repartition(key).withColumn(
+            "clim", F.avg(F.when(F.col("ok"), F.col("value"))).over(same_month)).withColumn(
+            "anom", F.col("value") - F.col("clim"))
     return (
         monthly.withColumn("calendar_month", F.month("month"))
         .join(clim.select(key, "calendar_month", "clim"), [key, "calendar_month"], "left")
@@ -50,9 +59,16 @@ def thresholds(anom: DataFrame, key: str = "site", cfg: Thresholds = Thresholds(
 
 def exceedances(anom: DataFrame, thr: DataFrame | None = None, key: str = "site",
                 cfg: Thresholds = Thresholds()) -> DataFrame:
-    """Strict exceedance flags per threshold and the severest class."""
-    thr = thresholds(anom, key, cfg) if thr is None else thr
-    out = anom.join(thr, key, "left")
+    """Strict exceedance flags per threshold and the severest class.
+
+    Thresholds not given are taken over the record itself, in the same exchange.
+    """
+    if thr is None:
+        probs = F.array(*[F.lit(p / 100) for p in cfg.percentiles])
+        out = anom.withColumn("_q", F.percentile("anom", probs).over(W.partitionBy(key))).withColumns({
+            f"p{p}": F.element_at("_q", i + 1) for i, p in enumerate(cfg.percentiles)}).drop("_q")
+    else:
+        out = anom.join(thr, key, "left")
     out = out.withColumns({
         f"exceeds_p{p}": F.coalesce(F.col("anom") > F.col(f"p{p}"), F.lit(False))
         for p in cfg.percentiles})

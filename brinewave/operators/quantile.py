@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from brinewave.config import DEFAULT_SCALE
 from brinewave.functions import columns as C
-from brinewave.operators.sizing import join_checked
+from brinewave.operators.sizing import small
 from brinewave.session import cut_lineage
 
 
@@ -64,8 +64,8 @@ def build_pool(df: DataFrame, keys: Sequence[str], value: str, member: Column |
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     ).withColumn("_nb", cells).withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.col("_nb")).select(
         *keys, "_lo", "_step", "_nb")
-    extent = cut_lineage(extent)
-    rows = join_checked(base, extent, keys).withColumn("_b", cell_of("_v")).select(*keys, "_m", "_b", "_v")
+    extent = small(extent)
+    rows = base.join(extent, keys).withColumn("_b", cell_of("_v")).select(*keys, "_m", "_b", "_v")
     counted = cut_lineage(rows.groupBy(*keys, "_m", "_b").agg(
         F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
     pooled = counted.withColumn("_t", F.explode(spread("_m"))).groupBy(*keys, "_t", "_b").agg(

@@ -6,6 +6,7 @@ Range conditions are always rewritten to equi-joins on integer bins, never a nes
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinewave.config import SOUND_BOX, STUDY_BOX, Box, GridConfig, HitTolerance
@@ -130,6 +131,7 @@ def distance_to_water(sites: DataFrame, cells: DataFrame, site_key: str, finest:
     ocean = cells.where(C.clean("value").isNotNull()).select(
         F.col("lon").alias("_clon"), F.col("lat").alias("_clat"),
         F.floor(F.col("lon") / finest).alias("_bx"), F.floor(F.col("lat") / finest).alias("_by"))
+    ocean = cut_lineage(ocean.distinct())
     occupied = cut_lineage(ocean.select("_bx", "_by").distinct())
     here = sites.select(site_key, F.col("lon").alias("_slon"), F.col("lat").alias("_slat"))
     kx = F.lit(cfg.km_per_lon) * F.cos(F.radians("_slat"))
@@ -153,8 +155,9 @@ def distance_to_water(sites: DataFrame, cells: DataFrame, site_key: str, finest:
         ny, fy = axis_bounds(F.col("_slat"), "_by", size, ky)
         bounded = candidates.join(bins, ["_bx", "_by"]).withColumn("_least", F.hypot(nx, ny)).withColumn(
             "_most", F.hypot(fx, fy))
-        best = bounded.groupBy(site_key).agg(F.min("_most").alias("_best"))
-        kept = bounded.join(best, site_key).where(F.col("_least") <= F.col("_best")).select(
+        # the bins of one site are few, so this window is small for every site
+        best = F.min("_most").over(W.partitionBy(site_key))
+        kept = bounded.withColumn("_best", best).where(F.col("_least") <= F.col("_best")).select(
             site_key, "_slon", "_slat", "_bx", "_by")
         if level:
             eighth = F.sequence(F.lit(0), F.lit(7))
@@ -217,8 +220,6 @@ def nearest_step(targets: DataFrame, steps: DataFrame, key: str, target_key: str
         targets.select(key, F.col(time).alias("_t"), F.lit(None).cast("timestamp").alias("_step"),
                        F.col(target_key).alias("_id")))
     spans = axis.withColumn("_chunk", chunked.time_chunk("_t", 86_400 * 30))
-    from pyspark.sql import Window as W
-
     edges = spans.groupBy(key, "_chunk").agg(F.max("_step").alias("_lastin"), F.min("_step").alias("_firstin"))
     back = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     ahead = W.partitionBy(key).orderBy("_chunk").rowsBetween(1, W.unboundedFollowing)
@@ -267,8 +268,6 @@ def product_census(grid: DataFrame, today, product: str = "product", probes: int
                    box: Box = SOUND_BOX, cfg: GridConfig = GridConfig()) -> DataFrame:
     """Per product, from its newest filled step among the newest ``probes``: shape, ocean and
     land cells, in-region cells, cell size in km, lag in days, empty steps walked past."""
-    from pyspark.sql import Window as W
-
     v = C.clean("value")
     steps = grid.groupBy(product, "date").agg((F.count(v) > 0).alias("filled"))
     newest_first = W.partitionBy(product).orderBy(F.desc("date"))

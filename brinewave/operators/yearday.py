@@ -10,6 +10,7 @@ from brinewave.config import YeardayConfig
 from brinewave.functions import columns as C
 from brinewave.operators.quantile import build_pool, cell_of, fetch, group_quantiles, pool_quantiles
 from brinewave.operators.sizing import join_checked
+from brinewave.session import cut_lineage
 
 
 def _day_stats(df, key, time, value):
@@ -35,7 +36,7 @@ def pooled_moments(df: DataFrame, key: str = "site", time: str = "time", value:
     Moments combine from per-day means and squared deviations about a per-key centre, so
     the raw rows are read once and only the daily statistics are copied.
     """
-    stats = _day_stats(df, key, time, value)
+    stats = cut_lineage(_day_stats(df, key, time, value))
     centre = stats.groupBy(key).agg(
         (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_c"))
     offset = F.col("_m") - F.col("_c")
@@ -69,7 +70,8 @@ def smooth(clim: DataFrame, key: str = "site", days: int = 5) -> DataFrame:
         return clim
     if days % 2 == 0:
         raise ValueError("an odd number of days is needed")
-    whole = clim.groupBy(key).agg((F.count("mean") == 365).alias("_whole"))
+    clim = cut_lineage(clim)
+    whole = F.count("mean").over(W.partitionBy(key)) == 365  # 365 rows per key
     near = (
         clim.select(key, F.explode(C.circular_days("yearday", days // 2)).alias("yearday"),
                     "mean", "sd")
@@ -77,7 +79,7 @@ def smooth(clim: DataFrame, key: str = "site", days: int = 5) -> DataFrame:
         .agg(F.avg("mean").alias("_mean"), F.when(F.count("sd") == days, F.avg("sd")).alias("_sd"))
     )
     return (
-        clim.join(near, [key, "yearday"]).join(whole, key)
+        clim.withColumn("_whole", whole).join(near, [key, "yearday"])
         .withColumn("mean", F.when(F.col("_whole"), F.col("_mean")).otherwise(F.col("mean")))
         .withColumn("sd", F.when(F.col("_whole"), F.col("_sd")).otherwise(F.col("sd")))
         .drop("_mean", "_sd", "_whole")
@@ -156,9 +158,10 @@ def window_rank(readings: DataFrame, obs: DataFrame, key: str = "site", time: st
     """
     pool = _pool(obs, key, time, value, window_days, 2)
     marks = readings.select("reading_id", key, C.yearday(time).alias("_t"), F.col(value).alias("_v"))
-    marks = join_checked(marks, pool.extent, [key]).withColumn("_b", F.greatest(F.lit(-1), F.when(
+    marks = marks.join(pool.extent, [key]).withColumn("_b", F.greatest(F.lit(-1), F.when(
         F.col("_step") > 0, cell_of("_v")).otherwise(F.when(F.col("_v") < F.col("_lo"), -1).otherwise(
             F.when(F.col("_v") > F.col("_lo"), 1).otherwise(0))))).drop("_lo", "_step", "_nb")
+    marks = cut_lineage(marks)
     spots = marks.select(key, "_t", "_b", "_v").distinct()
     days = spots.select(key, "_t").distinct()
     group = W.partitionBy(key, "_t")

@@ -10,6 +10,7 @@ from brinewave.operators import screening
 from brinewave.operators import yearday as Y
 from brinewave.plans.registry import query
 from brinewave.plans.views import table
+from brinewave.session import cut_lineage
 
 YD = "(dayofyear({t}) - CASE WHEN dayofyear(make_date(year({t}), 12, 31)) = 366 AND dayofyear({t}) >= 60 THEN 1 ELSE 0 END)"
 
@@ -106,7 +107,7 @@ SELECT reading_id, r.site, r.yearday, round(r.value - c.mean, 6) + 0.0 AS anomal
     round(b * 100.0 / n_compared, 6) AS percentile, n_compared, round(window_min, 6) AS window_min, round(window_max, 6) AS window_max
 FROM r JOIN clim c ON c.site = r.site AND c.yearday = r.yearday JOIN below USING (reading_id) WHERE c.sd > 0""")
 def _(v):
-    scored = Y.score_readings(readings(v), station_clim(v, False), v.station, strict=False).where(
+    scored = Y.score_readings(cut_lineage(readings(v)), station_clim(v, False), v.station, strict=False).where(
         F.col("clim_sd").isNotNull())
     return scored.select("reading_id", "site", "yearday", "anomaly", "z", "band", "percentile", "n_compared",
                          "window_min", "window_max")

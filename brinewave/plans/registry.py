@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 from brinewave.plans.views import edge, view, with_views
-from brinewave.session import cut_lineage
+from brinewave.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,9 +31,11 @@ class Frames:
         return view(self.spark, self.folder, name)
 
     def stored(self, name: str) -> DataFrame:
-        """The view written out once, for queries that read it many times."""
+        """The view as a table in the shared folder, for queries that read it many times."""
         if name not in self._stored:
-            self._stored[name] = cut_lineage(view(self.spark, self.folder, name))
+            path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+            view(self.spark, self.folder, name).write.parquet(path)
+            self._stored[name] = self.spark.read.parquet(path)
         return self._stored[name]
 
 

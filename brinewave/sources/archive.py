@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +13,8 @@ from brinewave.schema import OBSERVATION_KEYS, OBSERVATIONS
 
 
 def archive_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return len(spark.read.parquet(path).columns) > 0
-    except AnalysisException:
-        return False
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 def window(frame: DataFrame, start=None, end=None, last_days: float | None = None, now=None) -> DataFrame:

@@ -63,6 +63,9 @@ def daily_completeness(stream: DataFrame, key: str = "site", time: str = "time",
     )
 
 
+RUNS = "deployment string, longitude double, latitude double, held_from timestamp, held_to timestamp, batch long"
+
+
 def held_position_stream(stream: DataFrame, path: str, checkpoint: str, max_hold_hours: float = 8.0):
     """Writer that detects frozen positions as rows arrive.
 
@@ -110,8 +113,8 @@ def _table(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
 
 def held_positions_so_far(spark: SparkSession, path: str, max_hold_hours: float = 8.0) -> DataFrame:
     """Closed runs plus the open ones that are already long enough."""
-    closed = spark.read.parquet(f"{path}/closed")
-    state = spark.read.parquet(f"{path}/open")
+    closed = spark.read.schema(RUNS).parquet(f"{path}/closed")  # may hold no run yet
+    state = spark.read.schema(RUNS).parquet(f"{path}/open")
     newest = state.agg(F.max("batch").alias("v")).scalar()
     now_open = state.where(F.col("batch") == newest).where(
         C.micros("held_to") - C.micros("held_from") >= int(max_hold_hours * 3_600_000_000))

@@ -57,15 +57,13 @@ def test_replayed_batch_replaces_itself(spark, feed, tmp_path):
     assert spark.read.parquet(out).count() == 1
 
 
-@pytest.mark.parametrize("size", [1, 5, 17])
-def test_held_positions_equal_the_batch_operator(spark, feed, frame, tmp_path, size):
+@pytest.mark.parametrize("size,last", [(5, 20), (17, 99)])
+def test_held_positions_equal_the_batch_operator(spark, feed, frame, tmp_path, size, last):
     schema = "deployment string, time timestamp, longitude double, latitude double"
-    rows = sorted((r for r in held_rows() if r[2] is not None), key=lambda r: r[1])
-    if size == 1:
-        rows = rows[:14] + rows[-6:]
+    rows = sorted((r for r in held_rows() if r[2] is not None), key=lambda r: r[1])[:last]
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-    for k in range(0, len(rows), max(size, 5)):
-        feed.land(frame(rows[k:k + max(size, 5)], schema))
+    for k in range(0, len(rows), size):
+        feed.land(frame(rows[k:k + size], schema))
         drain(feeds.held_position_stream(feed.stream(frame(rows[:1], schema).schema), out, mark))
     key = ["deployment", "held_from", "held_to"]
     want = sorted(tuple(r) for r in screening.held_runs(frame(rows, schema)).select(*key).collect())
