@@ -107,7 +107,12 @@ def merge_runs(mask: DataFrame, keys: tuple = ("i", "j"), row: str = "r", col: s
         F.min(row).alias("r0"), (F.max(row) + 1).alias("r1")).select(*keys, "r0", "r1", "c0", "c1")
 
 
-def mask_in_cells(cells: DataFrame, mask: DataFrame, cfg: GridConfig = GridConfig()) -> DataFrame:
+def mask_axes(mask: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(r, lat) and (c, lon) of a mask, written out: one row per axis index."""
+    return (cut_lineage(mask.select("r", "lat").distinct()), cut_lineage(mask.select("c", "lon").distinct()))
+
+
+def mask_in_cells(cells: DataFrame, mask: DataFrame, cfg: GridConfig = GridConfig(), axes=None) -> DataFrame:
     """Mask pixels with the coarse cell that owns their centre: [lo - eps, hi - eps).
 
     ``cells`` are distinct (i, j, south, north, west, east); ``mask`` has (r, c, lat, lon,
@@ -122,9 +127,10 @@ def mask_in_cells(cells: DataFrame, mask: DataFrame, cfg: GridConfig = GridConfi
         return at.join(bins, "_bin").where(
             (F.col(x) >= F.col(low) - eps) & (F.col(x) < F.col(high) - eps)).drop("_bin", x)
 
-    rows = owner(mask.select("r", "lat").distinct(), cells.select("i", "south", "north").distinct(),
+    by_row, by_col = axes or mask_axes(mask)
+    rows = owner(by_row, cells.select("i", "south", "north").distinct(),
                  "lat", "south", "north", "i")
-    cols = owner(mask.select("c", "lon").distinct(), cells.select("j", "west", "east").distinct(),
+    cols = owner(by_col, cells.select("j", "west", "east").distinct(),
                  "lon", "west", "east", "j")
     placed = join_checked(join_checked(mask, rows.select("r", "i"), ["r"]), cols.select("c", "j"), ["c"])
     return placed.join(cells.select("i", "j").distinct(), ["i", "j"], "left_semi")
@@ -138,18 +144,20 @@ def clip_parts(cells: DataFrame, mask: DataFrame, cfg: GridConfig = GridConfig()
     """
     # one exchange on the cell serves the counts, both run windows and both groupings;
     # a cell holds a fixed number of mask pixels
+    cells = cut_lineage(cells.select("i", "j", "south", "north", "west", "east").distinct())
+    axes = mask_axes(mask)
     each = W.partitionBy("i", "j")
-    placed = mask_in_cells(cells, mask, cfg).select("i", "j", "r", "c", "water").repartition("i", "j")
+    placed = mask_in_cells(cells, mask, cfg, axes).select("i", "j", "r", "c", "water").repartition("i", "j")
     placed = placed.withColumn("_np", F.count(F.lit(1)).over(each)).withColumn(
         "_nw", F.count_if("water").over(each))
     cover = placed.groupBy("i", "j").agg(F.first("_np").alias("n_pixels"), F.first("_nw").alias("n_water"))
-    bounds = cells.select("i", "j", "south", "north", "west", "east").distinct()
+    bounds = cells
     whole = bounds.join(cover, ["i", "j"], "left").where(
         F.col("n_pixels").isNull() | (F.col("n_water") == F.col("n_pixels"))).select(
         "i", "j", F.col("south").alias("s"), F.col("north").alias("n"), F.col("west").alias("w"), F.col("east").alias("e"))
     boxes = merge_runs(placed.where(F.col("water") & (F.col("_nw") < F.col("_np"))).select("i", "j", "r", "c"))
-    lat = small(axis_edges(mask.select(F.col("r").alias("idx"), F.col("lat").alias("centre")).distinct()))
-    lon = small(axis_edges(mask.select(F.col("c").alias("idx"), F.col("lon").alias("centre")).distinct()))
+    lat = small(axis_edges(axes[0].toDF("idx", "centre")))
+    lon = small(axis_edges(axes[1].toDF("idx", "centre")))
     sized = (
         boxes.join(lat.select(F.col("idx").alias("r0"), F.col("lo").alias("_s")), "r0")
         .withColumn("_r", F.col("r1") - 1)

@@ -54,7 +54,7 @@ FROM lineitem"""),
 SELECT i, j, make_date(cast(y AS int), 1, 1) AS date, 40e0 + i * 0.005e0 AS lat, -126.8e0 + j * 0.005e0 AS lon,
        CASE WHEN j <> 40 AND (i * 7 + j * 13) % 17 <> 0 THEN v END AS value,
        CASE WHEN y >= 2001 THEN 'prelim' ELSE 'final' END AS source
-FROM (SELECT l_suppkey AS i, l_partkey % 96 AS j, year(l_shipdate) AS y, avg(l_discount) * 97.31e0 + 10 AS v
+FROM (SELECT l_suppkey AS i, l_partkey % 96 AS j, year(l_shipdate) AS y, avg(l_discount) * 97.3108713e0 + 10 AS v
       FROM lineitem GROUP BY l_suppkey, l_partkey % 96, year(l_shipdate)) g"""),
     # a fine water mask, five by five pixels per cell; some cells are not covered
     "mask": ("lineitem", """
