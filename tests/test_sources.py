@@ -68,15 +68,15 @@ def test_catalogue_flattens_and_drops_empty_tracks(spark, tmp_path):
                                "deployment_start": "2020-01-01T00:00:00", "deployment_end": "2020-02-01T00:00:00", **extra}}
 
     payload = {"type": "FeatureCollection", "features": [
-        feature("dfo-eva035-20200101", "LineString", [[-125.0, 48.0, 3.0], [-125.1, 48.1, 4.0]], active=True),
-        feature("dfo-eva035-20200201", "MultiLineString", [[[-1.0, 1.0]], [[-2.0, 2.0], [-3.0, 3.0]]], url="u"),
-        feature("dfo-eva035-20200301", "LineString", [])]}
+        feature("org-eva035-20200101", "LineString", [[-125.0, 48.0, 3.0], [-125.1, 48.1, 4.0]], active=True),
+        feature("org-eva035-20200201", "MultiLineString", [[[-1.0, 1.0]], [[-2.0, 2.0], [-3.0, 3.0]]], url="u"),
+        feature("org-eva035-20200301", "LineString", [])]}
     (tmp_path / "c.json").write_text(json.dumps(payload))
     deployments, vertices = exchange.read_catalogue(spark, str(tmp_path / "c.json"), "s")
     got = {r["name"]: r for r in deployments.collect()}
-    assert set(got) == {"dfo-eva035-20200101", "dfo-eva035-20200201"}
-    first = got["dfo-eva035-20200101"]
-    assert (first["glider"], first["url"], first["active"], first["color"]) == ("eva035", "s/dfo-eva035/dfo-eva035-20200101", True, "#f4a261")
+    assert set(got) == {"org-eva035-20200101", "org-eva035-20200201"}
+    first = got["org-eva035-20200101"]
+    assert (first["glider"], first["url"], first["active"], first["color"]) == ("eva035", "s/org-eva035/org-eva035-20200101", True, "#f4a261")
     assert [tuple(r)[1:] for r in vertices.where("name like '%0201'").orderBy("seq").collect()] == [(0, -1.0, 1.0), (1, -2.0, 2.0), (2, -3.0, 3.0)]
     assert vertices.where("name like '%0101'").count() == 2
 
