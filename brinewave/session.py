@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +64,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and stops plans from growing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: cut lineage, kept columnar, with statistics."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

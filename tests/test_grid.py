@@ -86,7 +86,7 @@ def test_random_components_equal_flood_fill(spark):
 def test_long_chain_settles_in_few_rounds(spark):
     edges = spark.range(0, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     nodes = spark.range(0, 302).select(F.col("id").alias("node"))
-    out = components.connected_components(nodes, edges, max_rounds=20)
+    out = components.connected_components(nodes, edges)
     assert {r["component"]: r["count"] for r in out.groupBy("component").count().collect()} == {0: 301, 301: 1}
 
 
