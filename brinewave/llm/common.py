@@ -11,8 +11,11 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from brinewave.session import shared_folder
+from brinewave.session import stored_table as stored  # noqa: F401  (used by the operators)
 
 #: words of the count contracts: runs of anything but blank, tab, newline, VT, FF and CR
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -28,13 +31,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: any executor can read them again."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 _SHIPPED: dict[str, str] = {}
 
 
@@ -88,16 +84,11 @@ def map_texts(df: DataFrame, keys: list[str], fields: str, work: Callable[[list[
     ``work`` gets a slice of texts and returns, by name, the columns in ``fields`` (DDL).
     """
     source = df.select(*keys, F.col(text).alias("text"))
-    kinds = {f.name: f.dataType for f in source.schema if f.name != "text"}
-    head = ", ".join(f"`{k}` {kinds[k].simpleString()}" for k in keys)
-    schema = f"{head}, {fields}"
+    schema = StructType([source.schema[i] for i in range(len(keys))] + StructType.fromDDL(fields).fields)
+    arrow = to_arrow_schema(schema)
+    names = arrow.names[len(keys):]
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        arrow = to_arrow_schema(StructType.fromDDL(schema))
-        names = arrow.names[len(keys):]
         for batch in batches:
             for first, texts in text_slices(batch):
                 made = work(texts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewave.llm import url_rules, winnowing
+from brinewave.llm import apportion, hyperminhash, url_rules, winnowing
 from brinewave.llm.common import table
 
 QUERIES = {}
@@ -62,6 +62,40 @@ def op5_winnowing(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+# -- op6 ---------------------------------------------------------------------------------
+
+_BLANK_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x20\\x09-\\x0D]+')")
+
+OP6_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_BLANK_WORDS} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE unnest(
+       CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE ['x'] END) END AS g
+       FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT u.a, r.c FROM r JOIN u ON u.b = r.doc_id),
+c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
+@query(sql=OP6_SQL)
+def op6_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, folder, "documents"))
+
+
+# -- op8 ---------------------------------------------------------------------------------
+
+@query
+def op8_apportionment(spark: SparkSession, folder: str) -> DataFrame:
+    return apportion.mix_sources(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 # -- op10 --------------------------------------------------------------------------------
 
 OP10_SQL = f"""

@@ -13,7 +13,7 @@ rules copied to a fixed number of salts so that a common expression is spread.
 Null URLs, and URLs without ``://``, have empty host and path and get the default verdict.
 Repeated rows each get a row. Empty tables give empty results; without rules every row gets
 the default. Rules with a null host or path are ignored. Of equally long rules, block wins,
-then the smaller text. Extra columns of either table are ignored.
+then a fixed order. Extra columns of either table are ignored.
 """
 
 from __future__ import annotations
