@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewave.llm import apportion, hyperminhash, url_rules, winnowing
-from brinewave.llm.common import table
+from brinewave.llm import apportion, hyperminhash, language_zstd, url_rules, warc_normalise, winnowing
+from brinewave.llm.common import crc_mod, table
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -88,6 +88,24 @@ def op6_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, folder, "documents"))
 
 
+# -- op7 ---------------------------------------------------------------------------------
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS n, sha256(h) AS d FROM p),
+f AS (SELECT d, min(page_id) AS first FROM q WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, q.d AS payload_digest,
+       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM q LEFT JOIN f ON q.d = f.d
+"""
+
+
+@query(sql=OP7_SQL)
+def op7_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_normalise.round_trip(table(spark, folder, "pages"))
+
+
 # -- op8 ---------------------------------------------------------------------------------
 
 @query
@@ -96,6 +114,17 @@ def op8_apportionment(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+# -- op9 ---------------------------------------------------------------------------------
+
+
+@query
+def op9_zstd_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    dictionaries = language_zstd.train_dictionaries(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    found = language_zstd.identify(docs, dictionaries)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("best").alias("lang_pred"), "score", "rejected")
+
+
 # -- op10 --------------------------------------------------------------------------------
 
 OP10_SQL = f"""
