@@ -64,7 +64,7 @@ def bounded_sample(df: DataFrame, keys: list[str], limit: int, seed: int) -> Dat
     return df.orderBy(mark, *keys).limit(limit)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
+def text_slices(batch: pa.RecordBatch, column: str | int = "text", most: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in runs of about ``most`` characters; null is empty text."""
     texts, first, held = [], 0, 0
     for row, text in enumerate(batch.column(column)):
@@ -82,19 +82,21 @@ def map_texts(df: DataFrame, keys: list[str], fields: str, work: Callable[[list[
     """One output row per input row: the key columns and what ``work`` makes of the texts.
 
     ``work`` gets a slice of texts and returns, by name, the columns in ``fields`` (DDL).
+    The text may itself be one of the keys.
     """
-    source = df.select(*keys, F.col(text).alias("text"))
+    source = df.select(*keys) if text in keys else df.select(*keys, F.col(text))
     schema = StructType([source.schema[i] for i in range(len(keys))] + StructType.fromDDL(fields).fields)
     arrow = to_arrow_schema(schema)
     names = arrow.names[len(keys):]
+    at = source.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            for first, texts in text_slices(batch):
+            for first, texts in text_slices(batch, at):
                 made = work(texts)
                 part = batch.slice(first, len(texts))
                 columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(keys))]
-                columns += [pa.array(made[n], type=arrow.field(n).type) for n in names]
+                columns += [pa.array(made[n], type=arrow.field(len(keys) + i).type) for i, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return arrow_map(source, run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewave.llm import apportion, hyperminhash, language_zstd, url_rules, warc_normalise, winnowing
+from brinewave.llm import apportion, hyperminhash, language_zstd, quality_gbt, toxicity_mil, url_rules, warc_normalise, winnowing
 from brinewave.llm.common import crc_mod, table
 
 QUERIES = {}
@@ -31,6 +31,36 @@ def query(fn=None, *, sql: str | None = None):
     return add(fn) if fn else add
 
 
+# -- op1 ---------------------------------------------------------------------------------
+
+
+@query
+def op1_boosted_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_gbt.train_quality(docs, table(spark, folder, "labels"))
+    failed = quality_gbt.base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    return quality_gbt.judge_quality(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & (F.col("score") >= 0.5)).alias("kept"), "score")
+
+
+# -- op3 ---------------------------------------------------------------------------------
+
+TOXIC_AT = 0.7
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity_mil.Toxicity:
+    return toxicity_mil.train_toxicity(docs, labels, crc_mod(F.col("doc_id"), 3) != 1)
+
+
+@query
+def op3_multiple_instance_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity_mil.score_toxicity(docs, toxicity_model(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 # -- op5 ---------------------------------------------------------------------------------
 
 _LETTER_WORDS = (
