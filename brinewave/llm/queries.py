@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewave.llm import apportion, hyperminhash, language_zstd, quality_gbt, toxicity_mil, url_rules, warc_normalise, winnowing
+from brinewave.llm import apportion, hyperminhash, language_zstd, quality_gbt, token_counts, toxicity_mil, url_rules, warc_normalise, winnowing
 from brinewave.llm.common import crc_mod, table
 
 QUERIES = {}
@@ -61,6 +61,14 @@ def op3_multiple_instance_toxicity(spark: SparkSession, folder: str) -> DataFram
                          (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+# -- op4 ---------------------------------------------------------------------------------
+
+
+@query
+def op4_viterbi_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), token_counts.load_vocabulary())
+
+
 # -- op5 ---------------------------------------------------------------------------------
 
 _LETTER_WORDS = (
