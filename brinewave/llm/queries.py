@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewave.llm import apportion, hyperminhash, language_zstd, quality_gbt, token_counts, toxicity_mil, url_rules, warc_normalise, winnowing
+from brinewave.llm import apportion, hyperminhash, language_zstd, pii_lstm, quality_gbt, token_counts, toxicity_mil, url_rules, warc_normalise, winnowing
 from brinewave.llm.common import crc_mod, table
 
 QUERIES = {}
@@ -44,6 +44,25 @@ def op1_boosted_quality(spark: SparkSession, folder: str) -> DataFrame:
         (~failed & (F.col("score") >= 0.5)).alias("kept"), "score")
 
 
+# -- op2 ---------------------------------------------------------------------------------
+
+
+def _listed(spans: str) -> Column:
+    """kind:start:end by kind as listed, then start, comma-joined."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
+        F.array_position(F.array(*[F.lit(k) for k in pii_lstm.KINDS]), s["kind"]).alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op2_bilstm_crf_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = pii_lstm.find_spans(docs, pii_lstm.train_tagger(docs)).withColumn("every", F.concat("base", "added"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii_lstm.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("every").alias("spans"),
+                        F.size("added").alias("n_added"))
+
+
 # -- op3 ---------------------------------------------------------------------------------
 
 TOXIC_AT = 0.7
