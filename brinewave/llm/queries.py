@@ -58,7 +58,7 @@ def _listed(spans: str) -> Column:
 def op2_bilstm_crf_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = pii_lstm.find_spans(docs, pii_lstm.train_tagger(docs)).withColumn("every", F.concat("base", "added"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii_lstm.KINDS]
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in pii_lstm.KINDS]
     return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("every").alias("spans"),
                         F.size("added").alias("n_added"))
 
