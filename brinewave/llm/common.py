@@ -60,7 +60,7 @@ def bounded_sample(df: DataFrame, keys: list[str], limit: int, seed: int) -> Dat
     mark = F.xxhash64(F.lit(seed), *keys)
     if total > 2 * limit:
         top = int(2.0 * limit / total * (1 << 62)) - (1 << 61)
-        df = df.where(F.shiftright(mark, F.lit(2)) < top)
+        df = df.where(F.shiftright(mark, 2) < top)
     return df.orderBy(mark, *keys).limit(limit)
 
 
