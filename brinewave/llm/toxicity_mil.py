@@ -69,7 +69,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(hashes: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels: np.ndarray, min_documents: int = 4,
-        rounds: int = 300, rate: float = 0.1, penalty: float = 0.3, bias_most: float = -10.0) -> Toxicity:
+        rounds: int = 300, rate: float = 0.1, penalty: float = 0.3, bias_most: float = -16.0) -> Toxicity:
     """Weights from words given by hash, sentence and document, and a label for each document."""
     toxic, n = int(labels.sum()), len(labels)
     empty = Toxicity(np.empty(0, np.uint64), np.empty(0), -40.0, toxic / n if n else 0.0)
@@ -95,7 +95,7 @@ def fit(hashes: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels:
     of[sentence] = document
     doc = of[where]
 
-    w, bias, leak = 2 * lean[kept], bias_most, -4.0
+    w, bias, leak = 2 * lean[kept] - bias_most - 10, bias_most, -4.0
     x = np.concatenate([w, [bias, leak]])
     m, v = np.zeros_like(x), np.zeros_like(x)
     for t in range(1, rounds + 1):
