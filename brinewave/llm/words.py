@@ -36,13 +36,20 @@ LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE | _U(1), _U)
-    out[0] = 1
-    return np.cumprod(out, dtype=_U)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base modulo 2^64, and of its inverse."""
+    base = int(_BASE) | 1
+    out = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(n, x, _U)
+        powers[0] = 1
+        out.append(np.cumprod(powers, dtype=_U))
+    return out[0], out[1]
 
 
-_POWERS = _powers(256)
+#: bytes hashed at a time
+_SPAN = 1 << 18
+_POWERS, _INVERSE = _powers(_SPAN)
 
 
 @dataclass
@@ -87,25 +94,25 @@ def cut(texts: list[str], word_bytes: np.ndarray, lower: bool = True, hashed: bo
     return Words(data, starts, ends, first, text_at, word_hashes(data, starts, ends) if hashed else None)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 21) -> np.ndarray:
-    """64-bit hash of each word, in blocks of about ``most`` bytes."""
-    global _POWERS
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word: a polynomial of its bytes, from running sums over blocks of words.
+
+    The sum of value x base^position over a word, divided by base^start, does not depend on
+    where the word stands.
+    """
+    global _POWERS, _INVERSE
     out = np.empty(len(starts), _U)
-    if not len(starts):
-        return out
-    sizes = ends - starts
-    if sizes.max() > len(_POWERS):
-        _POWERS = _powers(int(sizes.max()) * 2)
-    bounds = np.cumsum(sizes)
     a = 0
     while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(bounds, (bounds[a - 1] if a else 0) + most, "right")))
-        n = sizes[a:b]
-        at = np.cumsum(n) - n
-        inner = np.arange(int(n.sum())) - np.repeat(at, n)
-        values = _VALUES[data[np.repeat(starts[a:b], n) + inner]]
-        values *= _POWERS[inner]
-        out[a:b] = mix(np.add.reduceat(values, at) ^ (n.astype(_U) * _BASE))
+        at = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, at + _SPAN, "right")))
+        n = int(ends[b - 1] - at)
+        if n > len(_POWERS):
+            _POWERS, _INVERSE = _powers(2 * n)
+        running = np.zeros(n + 1, _U)
+        np.cumsum(_VALUES[data[at:at + n]] * _POWERS[:n], out=running[1:], dtype=_U)
+        s, e = starts[a:b] - at, ends[a:b] - at
+        out[a:b] = mix(((running[e] - running[s]) * _INVERSE[s]) ^ ((e - s).astype(_U) * _BASE))
         a = b
     return out
 
