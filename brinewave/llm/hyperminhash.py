@@ -15,8 +15,8 @@ pairs of sets with ``100 * |A & B| >= percent * |A | B|``; documents fall into c
 * **No pairs within a bucket.** Each member of a bucket is first tried with the bucket's
   smallest member only, beginning with the one it shares most bands with. Then, in buckets
   whose members are still in several components, every member outside the largest of these
-  is tried with all members of other components. Pairs already in one component need no
-  test, so a bucket of thousands of near copies costs as many tests as it has members, and
+  is tried with all members of other components whose sizes and low register bits allow a
+  link (the bits are compared in the join). Pairs already in one component need no test, so a bucket of thousands of near copies costs as many tests as it has members, and
   no link between components is lost.
 * **Tests.** A pair goes on if its collision-corrected estimate is not more than six
   standard deviations below the threshold; the full sets, made from the whole texts, decide.
@@ -60,7 +60,14 @@ def shingle_sets(words: Words) -> list[np.ndarray]:
     pairs = mix((h[:-1] * _U(0x9FB21C651E98DF25)) ^ (h[:-1] >> _U(31)) ^ (h[1:] * _U(0xD6E8FEB86659FD93))) if len(h) > 1 else h[:0]
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        out.append(np.unique(pairs[a:b - 1]) if b - a > 1 else mix(h[a:b] ^ _U(0xA5A5A5A5A5A5A5A5)))
+        if b - a > 1:
+            own = np.sort(pairs[a:b - 1])
+            new = np.empty(len(own), bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
+        else:
+            out.append(mix(h[a:b] ^ _U(0xA5A5A5A5A5A5A5A5)))
     return out
 
 
@@ -71,21 +78,32 @@ def sketches(sets: list[np.ndarray], level: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     items = np.concatenate(sets) if sets else np.empty(0, _U)
     out = np.full((len(sets), REGISTERS), EMPTY, np.uint16)
+    seeds = np.arange(1, repeats + 1, dtype=_U) * _U(0x632BE59BD9B4E019)
+    if buckets == 1:  # one bucket holds a whole set: plain minima, many repeats at once
+        at = np.cumsum([0, *[len(s) for s in sets[:-1]]])
+        for r in range(0, repeats, 32):
+            low = np.minimum.reduceat(mix(items[None, :] + seeds[r:r + 32, None]), at, axis=1)
+            out[:, r:r + 32] = _registers(low).T
+        return out
     for r in range(repeats):
-        h = mix(items + _U((r + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-        slot = owner * buckets + ((h >> _U(64 - bits)).astype(np.int64) if bits else 0)
+        h = mix(items + seeds[r])
+        slot = owner * buckets + (h >> _U(64 - bits)).astype(np.int64)
         low = np.full(len(sets) * buckets, np.iinfo(_U).max, _U)
-        np.minimum.at(low, slot, h << _U(bits) if bits else h)
+        np.minimum.at(low, slot, h << _U(bits))
         seen = np.zeros(len(low), bool)
         seen[slot] = True
-        fraction, exponent = np.frexp((low >> _U(11)).astype(np.float64))
-        zeros = np.minimum(np.where(fraction > 0, 53 - exponent, 62), 62)
-        mantissa = np.where(fraction > 0, (fraction * 2 - 1) * (1 << MANTISSA), 0).astype(np.int64)
-        value = np.where(seen, zeros << MANTISSA | mantissa, EMPTY).astype(np.uint16)
-        out[:, r * buckets:(r + 1) * buckets] = value.reshape(len(sets), buckets)
+        out[:, r * buckets:(r + 1) * buckets] = np.where(seen, _registers(low), EMPTY).reshape(len(sets), buckets)
     return out
 
 
+def _registers(low: np.ndarray) -> np.ndarray:
+    """Number of leading zeros (at most 62) and the mantissa bits that follow the first one."""
+    fraction, exponent = np.frexp((low >> _U(11)).astype(np.float64))
+    zeros = np.minimum(np.where(fraction > 0, 53 - exponent, 62), 62)
+    mantissa = np.where(fraction > 0, (fraction * 2 - 1) * (1 << MANTISSA), 0).astype(np.int64)
+    return (zeros << MANTISSA | mantissa).astype(np.uint16)
+
+
 def band_keys(registers: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all bands, and which of them have a filled register."""
     shape = (len(registers), BANDS, BAND)
@@ -96,6 +114,26 @@ def band_keys(registers: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray
     return key.view(np.int64), (bands != EMPTY).any(axis=2)
 
 
+PLANES = 2
+_WORDS = REGISTERS // 64
+#: agreement columns: the low bits of all registers, plane by plane, in 64-bit words
+PLANE_COLUMNS = [f"p{j}" for j in range(PLANES * _WORDS)]
+
+
+def planes(registers: np.ndarray) -> np.ndarray:
+    """The lowest bits of each register: rows of ``PLANE_COLUMNS``."""
+    bits = (registers[:, None, :] >> np.arange(PLANES, dtype=np.uint16)[None, :, None]) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(len(registers), -1), axis=1).view(np.int64)
+
+
+def planes_apart(a: str, b: str, percent: int) -> str:
+    """SQL: too many registers differ in their low bits for a pair at the threshold, by six standard deviations."""
+    words = [" | ".join(f"({a}.p{j + i} ^ {b}.p{j + i})" for i in range(0, PLANES * _WORDS, _WORDS)) for j in range(_WORDS)]
+    share = (1 - percent / 100) * (1 - 2.0 ** -PLANES)
+    most = REGISTERS * share + 6 * np.sqrt(REGISTERS * share * (1 - share))
+    return f"{' + '.join(f'bit_count({w})' for w in words)} > {int(most)}"
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected similarity of sketch rows, and the number of registers it rests on."""
     used = (a != EMPTY) | (b != EMPTY)
@@ -128,7 +166,7 @@ def _signatures(percent: int):
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(band, node, n): a row for each filled band of each sketch."""
+    """(band, node, n, level): a row for each filled band of each sketch."""
     def run(batches):
         for batch in batches:
             node, n = batch.column(0), batch.column(1)
@@ -141,11 +179,27 @@ def _bands(reps: DataFrame) -> DataFrame:
                     keys, filled = band_keys(registers[rows], int(v))
                     at = pa.array(np.repeat(rows, filled.sum(axis=1)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[filled]), part.column(0).take(at), part.column(1).take(at)], names=["band", "node", "n"])
+                        [pa.array(keys[filled]), part.column(0).take(at), part.column(1).take(at), pa.array(np.full(len(at), v, np.int32))],
+                        names=["band", "node", "n", "level"])
 
     kind = reps.schema["node"].dataType.simpleString()
     flat = reps.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.level", "s.registers")
-    return arrow_map(flat, run, f"band bigint, node {kind}, n bigint")
+    return arrow_map(flat, run, f"band bigint, node {kind}, n bigint, level int")
+
+
+def _planes(reps: DataFrame) -> DataFrame:
+    """(node, level, agreement columns) of each sketch."""
+    def run(batches):
+        for batch in batches:
+            for first in range(0, len(batch), 2000):
+                part = batch.slice(first, 2000)
+                got = planes(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c) for c in np.ascontiguousarray(got.T)]],
+                                                 names=["node", "level", *PLANE_COLUMNS])
+
+    kind = reps.schema["node"].dataType.simpleString()
+    flat = reps.select("node", F.explode("sketches").alias("s")).select("node", "s.level", "s.registers")
+    return arrow_map(flat, run, f"node {kind}, level int, " + ", ".join(f"{c} bigint" for c in PLANE_COLUMNS))
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
@@ -236,15 +290,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = links.unionByName(_confirmed(rest, reps, texts, percent, "stars"))
     parts = _components(links)
 
-    placed = stored(shared.join(parts, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component")), "placed-bands")
+    placed = stored(shared.join(parts, "node", "left").select("band", "node", "n", "level", F.coalesce("component", "node").alias("component")), "placed-bands")
     largest = (
         placed.groupBy("band", "component").agg(F.count("*").alias("m")).groupBy("band")
         .agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main"))
-    mixed = placed.join(largest, "band")
-    minor = mixed.where("component <> main").select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    other = mixed.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), (F.col("component") == F.col("main")).alias("in_main"))
-    fits = (f"c_a <> c_b AND (in_main OR a < b) AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    cross = minor.join(other, "band").where(fits).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
+    mixed = stored(placed.join(largest, "band"), "mixed-bands")
+    with_planes = mixed.join(_planes(reps), ["node", "level"])
+    minor = with_planes.where("component <> main").alias("x")
+    fits = (f"x.component <> y.component AND (y.component = y.main OR x.node < y.node) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) "
+            f"AND NOT ({planes_apart('x', 'y', percent)})")
+    cross = minor.join(with_planes.alias("y"), F.expr(f"x.band = y.band AND {fits}")).select(
+        F.expr("greatest(x.node, y.node)").alias("a"), F.expr("least(x.node, y.node)").alias("b")).distinct()
     cross = cross.join(stars.select("a", "b"), ["a", "b"], "left_anti")
     found = _confirmed(cross.select("a", "b"), reps, texts, percent, "cross")
     if not found.isEmpty():
