@@ -32,13 +32,13 @@ def assign_group(catalogue: DataFrame, groups, default=None) -> DataFrame:
 
 
 def collapse_missions(catalogue: DataFrame) -> DataFrame:
-    """One directory per (glider, start): the latest end, the first name on equal ends.
+    """One directory per (glider, start): the latest end (any end beats none), the first name on equal ends.
 
     A null start is a start of its own, as for any other value. Rows are compared by a
     combinable maximum, so a mission with many directories is never gathered.
     """
     lowest = catalogue.groupBy("glider", "start", "end").agg(F.min("name").alias("name"))
-    winner = lowest.groupBy("glider", "start").agg(F.max_by("name", "end").alias("name"))
+    winner = lowest.groupBy("glider", "start").agg(F.max_by("name", F.struct(F.col("end").isNotNull().alias("known"), "end")).alias("name"))
     return catalogue.join(winner.select("name"), "name", "left_semi")
 
 

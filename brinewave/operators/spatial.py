@@ -188,14 +188,6 @@ def coverage_crop(bathymetry: DataFrame, data: DataFrame, buffer: float = 0.02,
     return out
 
 
-def assert_same_cell(was_lat: float, was_lon: float, lat: float, lon: float,
-                     tolerance: float = 1e-6) -> None:
-    """A series belongs to one cell; refuse to extend it for another."""
-    if abs(was_lat - lat) > tolerance or abs(was_lon - lon) > tolerance:
-        raise ValueError(
-            f"cell mismatch: history holds ({was_lat:.4f}, {was_lon:.4f}), grid has ({lat:.4f}, {lon:.4f})")
-
-
 def same_cell(history: DataFrame, current: DataFrame, key: str,
               tolerance: float = 1e-6) -> DataFrame:
     """Row form of the guard for many series: (key, same)."""
@@ -205,6 +197,13 @@ def same_cell(history: DataFrame, current: DataFrame, key: str,
         & (F.abs(F.col("lon") - F.col("_lon")) <= tolerance)).alias("same"))
 
 
+def require_same_cell(history: DataFrame, current: DataFrame, key: str, tolerance: float = 1e-6) -> None:
+    """Stop when any series would go on in a cell other than its own; names some of them."""
+    moved = [r[key] for r in same_cell(history, current, key, tolerance).where(~F.col("same")).select(key).limit(5).collect()]
+    if moved:
+        raise ValueError(f"series of another cell: {moved}")
+
+
 def nearest_step(targets: DataFrame, steps: DataFrame, key: str, target_key: str,
                  time: str = "time") -> DataFrame:
     """Nearest step to each target time within ``key``; on a tie the newer step.

@@ -214,9 +214,14 @@ def band_shares(scored: DataFrame, key: str = "site") -> DataFrame:
 
 
 def seasonal_extremes(clim: DataFrame, key: str = "site") -> DataFrame:
-    """Coldest and warmest day, amplitude, spread and support; ties go to the earlier day."""
-    cold = F.when(F.col("mean").isNotNull(), F.struct(F.col("mean"), F.col("yearday")))
-    warm = F.when(F.col("mean").isNotNull(), F.struct(F.col("mean"), -F.col("yearday")))
+    """Coldest and warmest day, amplitude, spread and support.
+
+    Means equal to nine places are ties and go to the earlier day, so that the order in
+    which floats were added does not decide.
+    """
+    level = F.round("mean", 9)
+    cold = F.when(level.isNotNull(), F.struct(level.alias("m"), F.col("yearday")))
+    warm = F.when(level.isNotNull(), F.struct(level.alias("m"), -F.col("yearday")))
     return clim.groupBy(key).agg(
         F.min_by("yearday", cold).alias("coldest_day"), F.min("mean").alias("coldest"),
         F.max_by("yearday", warm).alias("warmest_day"), F.max("mean").alias("warmest"),

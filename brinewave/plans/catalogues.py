@@ -178,31 +178,39 @@ def take(path, kind="string"):
     return F.get_json_object("feature", path).cast(kind)
 
 
+def vertex_check(made, *keys):
+    """Pieces with the count and an order-bound sum of their vertices, read back from the JSON."""
+    shape = F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<array<double>>")
+    weighed = F.aggregate(F.transform(shape, lambda p, i: (p[0] - 2 * p[1]) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return made.select(*keys, F.size(shape).cast("bigint").alias("n_here"), F.round(weighed, 3).alias("weighed"))
+
+
 @query("track_line_features", "S14", "vertices", """
-, s AS (SELECT name, lon, lat, row_number() OVER (PARTITION BY name ORDER BY time, lon, lat) AS rn FROM vertices
-   WHERE lon BETWEEN -126.80 AND -124.50 AND lat BETWEEN 47.85 AND 49.36)
-SELECT name, count(*) AS n_points, round(max(lon) FILTER (rn = 1), 5) AS first_lon, round(max(lat) FILTER (rn = 1), 5) AS first_lat,
-  'LineString' AS kind FROM s GROUP BY name HAVING count(*) >= 2""")
+, s AS (SELECT name, round(lon, 5) AS x, round(lat, 5) AS y, row_number() OVER (PARTITION BY name ORDER BY time, lon, lat) AS rn,
+   count(*) OVER (PARTITION BY name) AS n FROM vertices WHERE lon BETWEEN -126.80 AND -124.50 AND lat BETWEEN 47.85 AND 49.36)
+, p AS (SELECT *, unnest(CASE WHEN rn > 1 AND (rn - 1) % 2 = 0 AND rn = n THEN [(rn - 1) // 2 - 1]
+   WHEN rn > 1 AND (rn - 1) % 2 = 0 THEN [(rn - 1) // 2 - 1, (rn - 1) // 2] ELSE [(rn - 1) // 2] END) AS piece FROM s WHERE n > 1)
+SELECT name, piece, n AS n_points, count(*) AS n_here, round(sum((x - 2 * y) * (rn - piece * 2)), 3) AS weighed, 'LineString' AS kind
+FROM p GROUP BY name, piece, n""")
 def _(v):
-    tracks = chunked.with_row_number(v.vertices, ["name"], ["time", "lon", "lat"], "seq", 3660 * 86_400)
+    tracks = chunked.with_row_number(v.vertices, ["name"], ["time", "lon", "lat"], "seq")
     names = v.vertices.select("name").distinct().select("name", F.substring_index("name", "x", 1).alias("glider"),
                                                         F.lit("survey").alias("project"))
-    made = features.track_lines(tracks, names)
-    return made.select("name", take("$.properties.n_points", "bigint").alias("n_points"),
-                       take("$.geometry.coordinates[0][0]", "double").alias("first_lon"),
-                       take("$.geometry.coordinates[0][1]", "double").alias("first_lat"), take("$.geometry.type").alias("kind"))
+    made = features.track_lines(tracks, names, piece_points=3)
+    return vertex_check(made, "name", "piece", "n_points", take("$.geometry.type").alias("kind"))
 
 
 @query("profile_point_features", "S15", "obs", """
-SELECT deployment, count(*) AS n_points, strftime(min(time), '%Y-%m-%dT%H:%M') AS first_profile,
-  strftime(max(time), '%Y-%m-%dT%H:%M') AS last_profile, round(arg_min(longitude, time), 5) AS first_lon,
-  strftime(min(time), '%Y-%m-%dT%H:%M') AS first_time FROM obs GROUP BY deployment""")
+, s AS (SELECT deployment, time, round(longitude, 5) AS x, round(latitude, 5) AS y,
+   row_number() OVER (PARTITION BY deployment ORDER BY time, longitude, latitude) - 1 AS rn FROM obs)
+, t AS (SELECT deployment, count(*) AS n, strftime(min(time), '%Y-%m-%dT%H:%M') AS a, strftime(max(time), '%Y-%m-%dT%H:%M') AS b FROM obs GROUP BY deployment)
+SELECT deployment, rn // 50 AS piece, any_value(n) AS n_points, any_value(a) AS first_profile, any_value(b) AS last_profile,
+  strftime(min(time), '%Y-%m-%dT%H:%M') AS first_time, count(*) AS n_here, round(sum((x - 2 * y) * (rn % 50 + 1)), 3) AS weighed
+FROM s JOIN t USING (deployment) GROUP BY deployment, rn // 50""")
 def _(v):
     fixes = v.obs.select("deployment", "time", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
-    made = features.profile_points(fixes)
-    return made.select("deployment", "n_points", "first_profile", "last_profile",
-                       take("$.geometry.coordinates[0][0]", "double").alias("first_lon"),
-                       take("$.properties.times[0]").alias("first_time"))
+    made = features.profile_points(fixes, piece_points=50)
+    return vertex_check(made, "deployment", "piece", "n_points", "first_profile", "last_profile", take("$.properties.times[0]").alias("first_time"))
 
 
 @query("empty_tracks", "S15", "obs", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brinewave.config import ScreenConfig
@@ -81,20 +82,19 @@ def _(v):
 
 
 READINGS_SQL = """
-, readings AS (SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey AS reading_id, any_value(o_orderpriority) AS site,
-    max(l_shipdate) AS time, max(l_extendedprice) / 9973e0 AS value
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1
-    GROUP BY l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey)"""
+, readings AS (SELECT l_orderkey || '-' || l_linenumber || '-' || row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+      ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS reading_id, o_orderpriority AS site,
+    l_shipdate AS time, l_extendedprice / 9973e0 AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def readings(v):
-    """First lines of orders as readings to be scored against the order-date record."""
-    li = table(v.spark, v.folder, "lineitem").where("l_linenumber = 1")
+    """All order lines as readings to be scored against the order-date record."""
+    li = table(v.spark, v.folder, "lineitem").withColumn("copy", F.row_number().over(
+        Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")))
     o = table(v.spark, v.folder, "orders")
-    rid = F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")
-    return li.join(o, li.l_orderkey == o.o_orderkey).groupBy(rid.alias("reading_id")).agg(
-        F.min("o_orderpriority").alias("site"), F.max("l_shipdate").alias("time"),
-        (F.max("l_extendedprice") / 9973.0).alias("value"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "copy").alias("reading_id"), F.col("o_orderpriority").alias("site"),
+        F.col("l_shipdate").alias("time"), (F.col("l_extendedprice") / 9973.0).alias("value"))
 
 
 @query("readings_scored", "A10 A11 G6", "station", CLIM_SQL + READINGS_SQL + f"""
@@ -102,15 +102,15 @@ def readings(v):
 , srt AS (SELECT site, yearday, value FROM pool)
 , below AS (SELECT r.reading_id, count(*) AS n_compared, sum(CASE WHEN p.value < r.value THEN 1 ELSE 0 END) AS b,
     min(p.value) AS window_min, max(p.value) AS window_max FROM r JOIN srt p ON p.site = r.site AND p.yearday = r.yearday GROUP BY 1)
-SELECT reading_id, r.site, r.yearday, round(r.value - c.mean, 6) + 0.0 AS anomaly, round((r.value - c.mean) / c.sd, 6) + 0.0 AS z,
-    cast(CASE WHEN abs((r.value - c.mean) / c.sd) <= 1 THEN 0 WHEN abs((r.value - c.mean) / c.sd) <= 2 THEN 1 ELSE 2 END AS bigint) AS band,
+SELECT reading_id, r.site, r.yearday, round(r.value - c.mean, 6) + 0.0 AS anomaly, round(CASE WHEN c.sd > 0 THEN (r.value - c.mean) / c.sd END, 6) + 0.0 AS z,
+    cast(CASE WHEN c.sd > 0 AND abs((r.value - c.mean) / c.sd) <= 1 THEN 0 WHEN c.sd > 0 AND abs((r.value - c.mean) / c.sd) <= 2 THEN 1 ELSE 2 END AS bigint) AS band,
+    coalesce(c.sd > 0 AND r.value IS NOT NULL, false) AS scored,
     round(b * 100.0 / n_compared, 6) AS percentile, n_compared, round(window_min, 6) AS window_min, round(window_max, 6) AS window_max
-FROM r JOIN clim c ON c.site = r.site AND c.yearday = r.yearday JOIN below USING (reading_id) WHERE c.sd > 0""")
+FROM r LEFT JOIN clim c ON c.site = r.site AND c.yearday = r.yearday LEFT JOIN below USING (reading_id)""")
 def _(v):
-    scored = Y.score_readings(cut_lineage(readings(v)), station_clim(v, False), v.station, strict=False).where(
-        F.col("clim_sd").isNotNull())
-    return scored.select("reading_id", "site", "yearday", "anomaly", "z", "band", "percentile", "n_compared",
-                         "window_min", "window_max")
+    scored = Y.score_readings(cut_lineage(readings(v)), station_clim(v, False), v.station, strict=False)
+    return scored.select("reading_id", "site", "yearday", "anomaly", "z", "band", F.col("z").isNotNull().alias("scored"), "percentile",
+                         "n_compared", "window_min", "window_max")
 
 
 @query("reading_drift", "J22", "station", READINGS_SQL + """
@@ -130,7 +130,8 @@ def _(v):
 
 
 @query("seasonal_extremes", "A13", "station", CLIM_SQL + """
-SELECT site, arg_min(yearday, mean) AS coldest_day, round(min(mean), 6) AS coldest, arg_max(yearday, mean) AS warmest_day,
+SELECT site, arg_min(yearday, (round(mean, 9), yearday)) FILTER (WHERE mean IS NOT NULL) AS coldest_day, round(min(mean), 6) AS coldest,
+       arg_max(yearday, (round(mean, 9), -yearday)) FILTER (WHERE mean IS NOT NULL) AS warmest_day,
        round(max(mean), 6) AS warmest, round(max(mean) - min(mean), 6) AS amplitude, round(min(sd), 6) AS sd_min,
        round(max(sd), 6) AS sd_max, round(median(sd), 6) AS sd_median, min(n) AS n_min, max(n) AS n_max,
        min(n_years) AS years_min, max(n_years) AS years_max FROM clim GROUP BY site""")

@@ -65,13 +65,13 @@ def _(v):
 
 UPSERT_SQL = """
 , base AS (SELECT site, cast(time AS date) AS day, min(value) AS value FROM station WHERE id % 3 <> 0 GROUP BY 1, 2)
-, new AS (SELECT site, cast(time AS date) AS day, max(value) + 1 AS value FROM station WHERE id % 4 <> 0 GROUP BY 1, 2)"""
+, new AS (SELECT site, cast(time AS date) AS day, max(value) + 1 AS value FROM station WHERE id % 3 <> 1 GROUP BY 1, 2)"""
 
 
 def two_sources(v):
     day = F.to_date("time").alias("day")
     base = v.station.where("id % 3 <> 0").groupBy("site", day).agg(F.min("value").alias("value"))
-    new = v.station.where("id % 4 <> 0").groupBy("site", day).agg((F.max("value") + 1).alias("value"))
+    new = v.station.where("id % 3 <> 1").groupBy("site", day).agg((F.max("value") + 1).alias("value"))
     return base, new
 
 
@@ -123,12 +123,14 @@ SELECT site, count(*) AS n_rows, count(value) AS n_valid, round(avg(value), 5) A
 def _(v):
     path = fresh_path(v, "stations")
     stamp = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    data = v.sensor.select("site", F.concat_ws(", ", stamp, F.coalesce(F.col("value").cast("string"), F.lit("NaN")),
+    day = F.to_date("time").alias("day")
+    data = v.sensor.select("site", day, F.concat_ws(", ", stamp, F.coalesce(F.col("value").cast("string"), F.lit("NaN")),
                                                F.col("flag").cast("string"), F.lit("1")).alias("line"))
     head = ["## preamble", "#STNNAME: \"Ridge\"  / station name", "#LATITUDE: 48.81  / degrees", "#LONGITUDE: -125.28  / degrees",
             "#DEPTH: 98.5m  / metres", "# prose: not a key", "## END HEADER"]
-    lines = v.sensor.select("site").distinct().select("site", F.explode(F.array(*[F.lit(h) for h in head])).alias("line"))
-    lines.unionByName(data).repartition("site").write.partitionBy("site").text(path)
+    # a file for each station and day, each with its header
+    lines = v.sensor.select("site", day).distinct().select("site", "day", F.explode(F.array(*[F.lit(h) for h in head])).alias("line"))
+    lines.unionByName(data).repartition("site", "day").write.partitionBy("site", "day").text(path)
     rows = text_tables.station_rows(v.spark, path).withColumn("site", F.regexp_extract("file", "site=([a-z]+)", 1))
     header = text_tables.station_header(v.spark, path, ["LATITUDE", "LONGITUDE", "DEPTH"])
     fields = text_tables.station_fields(header, rows).withColumn("site", F.regexp_extract("file", "site=([a-z]+)", 1))
@@ -144,7 +146,8 @@ def _(v):
 SELECT site, count(*) AS n, round(avg(value), 5) AS mean FROM r GROUP BY site""")
 def _(v):
     path = fresh_path(v, "buoys")
-    v.sensor.repartition(1, "site").sortWithinPartitions("site", "time").select(
+    # a stamp, to the minute, is in one file only
+    v.sensor.repartitionByRange("site", F.date_trunc("minute", "time")).sortWithinPartitions("site", "time").select(
         F.col("site").alias("STN_ID"), F.date_format("time", "MM/dd/yyyy HH:mm").alias("DATE"), F.lit(48.8).alias("LATITUDE"),
         F.lit(125.9).alias("LONGITUDE"), F.lit(73.0).alias("DEPTH"), F.lit(4).alias("Q_FLAG"),
         F.coalesce("value", F.lit(0.0)).alias("SeaWaterTemperature")).write.option("header", True).csv(path)

@@ -9,24 +9,33 @@ from brinewave.plans.ingest import FRESH_SQL, fresh_path
 from brinewave.plans.platforms import HELD_SQL
 from brinewave.plans.registry import query
 from brinewave.plans.views import VIEWS, _spark_text
+from brinewave.session import is_folder, prepare
 from brinewave.streaming import feeds
 
 
-def event_stream(v, name: str):
-    """A view over ``events`` read as a file stream."""
-    from brinewave.session import prepare
+#: the events span a month, so any order of their files is within this
+LATENESS = "40 days"
+
 
+def event_stream(v, name: str):
+    """A view over ``events``, a file or a folder of parts, read as a file stream."""
     prepare(v.spark)
-    schema = v.spark.read.parquet(f"{v.folder}/events.parquet").schema
-    raw = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+    path = f"{v.folder}/events.parquet"
+    schema = v.spark.read.parquet(path).schema
+    reader = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
+    raw = reader.parquet(path) if is_folder(v.spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(v.folder)
     raw = raw.withColumn("ts", F.col("ts").cast("timestamp"))
     text = _spark_text(VIEWS[name][1]).replace("FROM events", "FROM {events}")
     return v.spark.sql(text, events=raw)
 
 
 def drain(writer) -> None:
+    """Run to the end of the input; rows refused as too late are an error here, as the lateness covers the feed."""
     running = writer.trigger(availableNow=True).start()
     running.awaitTermination()
+    refused = feeds.refused_rows(running)
+    if refused:
+        raise ValueError(f"{refused} rows came later than the feed's lateness allows")
 
 
 def to_table(v, stream, name: str):
@@ -37,6 +46,21 @@ def to_table(v, stream, name: str):
     return v.spark.read.schema(stream.schema).parquet(path)
 
 
+def last_rows(v, stream, keys, name: str):
+    """Run an update-mode stream and keep, for each key, the row of its last batch."""
+    path = fresh_path(v, name)
+
+    def keep(batch, batch_id):
+        if not batch.isEmpty():
+            batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    drain(stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", path + "_progress"))
+    rest = [c for c in stream.columns if c not in keys]
+    rows = v.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint").parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
 @query("stream_ingest", "U1 U2", "obs", FRESH_SQL + """
 SELECT deployment, count(*) AS n, max(time) AS newest FROM pick GROUP BY deployment""")
 def _(v):
@@ -50,32 +74,20 @@ def _(v):
 SELECT DISTINCT site, date_trunc('hour', time) AS time FROM sensor""")
 def _(v):
     hourly = event_stream(v, "sensor").select("site", F.date_trunc("hour", "time").alias("time"))
-    return to_table(v, feeds.distinct_times(hourly, ["site"], lateness="1 hour"), "distinct")
+    return to_table(v, feeds.distinct_times(hourly, ["site"], LATENESS), "distinct")
 
 
 @query("stream_latest_values", "U4", "sensor", """
 SELECT site, max(time) AS latest_time, arg_max(id, time) AS id, cast(arg_max(flag, time) AS bigint) AS flag FROM sensor GROUP BY site""")
 def _(v):
-    path = fresh_path(v, "latest")
-    latest = feeds.latest_values(event_stream(v, "sensor"), "site", ["id", "flag"])
-
-    def keep(batch, batch_id):
-        if not batch.isEmpty():
-            batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(path)
-
-    drain(latest.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", path + "_progress"))
-    rows = v.spark.read.parquet(path)
-    newest = rows.groupBy("site").agg(F.max_by(F.struct("latest_time", "id", "flag"), "batch").alias("r"))
-    return newest.select("site", "r.*")
+    return last_rows(v, feeds.latest_values(event_stream(v, "sensor"), "site", ["id", "flag"]), ["site"], "latest")
 
 
 @query("stream_daily_completeness", "U9 A2", "sensor", """
-, e AS (SELECT max(time) - INTERVAL 1 HOUR AS w FROM sensor)
 SELECT site, cast(cast(time AS date) AS string) AS day, round(CASE WHEN count(value) >= 18 THEN avg(value) END, 6) AS value,
-  count(value) AS n, count(value) >= 18 AS ok FROM sensor
-WHERE cast(time AS date) + INTERVAL 1 DAY <= (SELECT w FROM e) GROUP BY site, cast(time AS date)""")
+  count(value) AS n, count(value) >= 18 AS ok FROM sensor GROUP BY site, cast(time AS date)""")
 def _(v):
-    return to_table(v, feeds.daily_completeness(event_stream(v, "sensor")), "daily")
+    return last_rows(v, feeds.daily_completeness(event_stream(v, "sensor"), LATENESS), ["site", "day"], "daily")
 
 
 @query("stream_held_positions", "U10 W4", "obs", HELD_SQL + """

@@ -1,7 +1,7 @@
 """Feature sinks: rows to GeoJSON features, and all-or-nothing publication.
 
-Every feature is one row of JSON text. The vertices of a track are gathered because the
-track is one feature; very long tracks are cut into parts, so a row stays bounded.
+Every feature is one row of JSON text. A track is a sequence of pieces of a set number of
+vertices, whatever its length, so a row stays bounded and no size changes the result.
 """
 
 from __future__ import annotations
@@ -15,51 +15,61 @@ from brinewave.functions import geometry as G
 from brinewave.operators import chunked
 
 
-MAX_POINTS = 1_000_000
+#: vertices of one piece of a track
+PIECE_POINTS = 10_000
 
 
-def track_lines(vertices: DataFrame, deployments: DataFrame, box: Box | None = STUDY_BOX,
-                places: int = 5, properties=("glider", "project"), max_points: int = MAX_POINTS) -> DataFrame:
-    """(name, part, feature) LineString per deployment; fewer than two points make no line.
+def _pieces(points: DataFrame, key: str, order: list[str], size: int, shared: bool, seconds: int | None = None) -> DataFrame:
+    """Points with ``row``, ``piece`` and the ``total`` of their key; with ``shared`` a piece begins with the end of the one before."""
+    counts = points.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    rows = chunked.with_row_number(points, [key], order, "row", seconds).join(counts, key)
+    step = size - 1 if shared else size
+    piece = F.floor((F.col("row") - 1) / step)
+    if not shared:
+        return rows.withColumn("piece", piece)
+    seam = ((F.col("row") - 1) % step == 0) & (F.col("row") > 1)
+    both = F.when(seam & (F.col("row") == F.col("total")), F.array(piece - 1)).when(seam, F.array(piece - 1, piece)).otherwise(F.array(piece))
+    return rows.withColumn("piece", F.explode(both))
 
-    ``seq`` is the vertex position. A track longer than ``max_points`` becomes several
-    lines that share their end vertex, so no vertex is lost and no row grows without bound.
+
+def track_lines(vertices: DataFrame, deployments: DataFrame, box: Box | None = STUDY_BOX, places: int = 5,
+                properties=("glider", "project"), piece_points: int = PIECE_POINTS, position: str = "seq") -> DataFrame:
+    """(name, piece, n_points, feature): the LineString pieces of each deployment's track.
+
+    Only vertices in the box count, in the order of ``position``. A track of fewer than two
+    of them is no line. Every track is a row per ``piece_points`` vertices; neighbouring
+    pieces share an end, and each carries the number of points of the whole track, so the
+    size of a piece never changes what the track is.
     """
     inside = vertices if box is None else vertices.where(C.in_box("lon", "lat", box))
-    own = F.floor(F.col("seq") / max_points)
-    shared = (F.col("seq") % max_points == 0) & (F.col("seq") > 0)
-    cut = inside.withColumn("part", F.explode(F.when(shared, F.array(own - 1, own)).otherwise(F.array(own))))
-    lines = cut.groupBy("name", "part").agg(F.array_sort(F.collect_list(F.struct(
-        "seq", C.tidy_round("lon", places).alias("x"), C.tidy_round("lat", places).alias("y")))).alias("_p"))
-    lines = lines.where(F.size("_p") >= 2).withColumn(
-        "coordinates", F.transform("_p", lambda p: F.array(p["x"], p["y"])))
-    return lines.join(deployments, "name").select("name", "part", F.to_json(G.feature(
-        "LineString", F.col("coordinates"),
-        F.struct("name", *properties, F.size("coordinates").alias("n_points")))).alias("feature"))
-
-
-def profile_points(fixes: DataFrame, places: int = 5, key: str = "deployment",
-                   max_points: int = MAX_POINTS) -> DataFrame:
-    """(key, part, n_points, first_profile, last_profile, feature) MultiPoint with parallel times.
+    stamped = inside.withColumn("_at", F.timestamp_micros(F.col(position).cast("bigint")))
+    cut = _pieces(stamped, "name", ["_at", "lon", "lat"], piece_points, True, 1).where("total > 1")
+    lines = cut.groupBy("name", "piece", F.col("total").alias("n_points")).agg(F.array_sort(F.collect_list(F.struct(
+        "row", C.tidy_round("lon", places).alias("x"), C.tidy_round("lat", places).alias("y")))).alias("_p"))
+    lines = lines.withColumn("coordinates", F.transform("_p", lambda p: F.array(p["x"], p["y"])))
+    return lines.join(deployments, "name").select("name", "piece", "n_points", F.to_json(G.feature(
+        "LineString", F.col("coordinates"), F.struct("name", *properties, "n_points", "piece"))).alias("feature"))
+
+
+def profile_points(fixes: DataFrame, places: int = 5, key: str = "deployment", piece_points: int = PIECE_POINTS) -> DataFrame:
+    """(key, piece, n_points, first_profile, last_profile, feature): MultiPoint pieces with parallel times.
 
     One timestamp per coordinate in the same order, both from one ordered array. A
-    deployment beyond ``max_points`` is several features, cut in time order.
+    deployment is a row per ``piece_points`` fixes, in time order; count, first and last
+    profile are those of the whole deployment on each piece.
     """
     held = fixes.where(C.clean("lon").isNotNull() & C.clean("lat").isNotNull())
-    numbered = chunked.with_row_number(held, [key], ["time", "lon", "lat"], "_row")
-    rows = numbered.withColumn("part", F.floor((F.col("_row") - 1) / max_points)).groupBy(key, "part").agg(
-        F.array_sort(F.collect_list(F.struct("time", C.tidy_round("lon", places).alias("x"),
-                                             C.tidy_round("lat", places).alias("y")))).alias("_p"))
     stamp = "yyyy-MM-dd'T'HH:mm"
-    times = F.transform("_p", lambda p: F.date_format(p["time"], stamp))
-    shaped = rows.select(
-        key, "part", F.size("_p").alias("n_points"), times.alias("times"),
+    spans = held.groupBy(key).agg(F.date_format(F.min("time"), stamp).alias("first_profile"), F.date_format(F.max("time"), stamp).alias("last_profile"))
+    rows = _pieces(held, key, ["time", "lon", "lat"], piece_points, False).groupBy(key, "piece", F.col("total").alias("n_points")).agg(
+        F.array_sort(F.collect_list(F.struct("row", "time", C.tidy_round("lon", places).alias("x"), C.tidy_round("lat", places).alias("y")))).alias("_p"))
+    shaped = rows.join(spans, key).select(
+        key, "piece", "n_points", "first_profile", "last_profile", F.transform("_p", lambda p: F.date_format(p["time"], stamp)).alias("times"),
         F.transform("_p", lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
     return shaped.select(
-        key, "part", "n_points", F.element_at("times", 1).alias("first_profile"),
-        F.element_at("times", -1).alias("last_profile"),
+        key, "piece", "n_points", "first_profile", "last_profile",
         F.to_json(G.feature("MultiPoint", F.col("coordinates"), F.struct(
-            F.col(key), C.glider_of(key).alias("glider"), "n_points", "times"))).alias("feature"))
+            F.col(key), C.glider_of(key).alias("glider"), "n_points", "piece", "times"))).alias("feature"))
 
 
 def empty_tracks(names: DataFrame, features: DataFrame, key: str = "deployment") -> DataFrame:

@@ -7,38 +7,58 @@ from pyspark.sql import functions as F
 
 from brinewave.functions import columns as C
 from brinewave.operators.incremental import after_marks, fresh_rows
-from brinewave.session import cut_lineage
+from brinewave.session import cut_lineage, path_exists, stored_table
 
 
 def ingest_stream(stream: DataFrame, path: str, checkpoint: str, mode: str,
                   lateness_seconds: float = 0.0):
     """Writer that keeps an archive up to date from landed rows.
 
-    Every micro-batch is screened, de-duplicated and held against the marks of what other
-    batches stored, so late rows are refused per deployment. A batch writes its own
-    partition and replaces it when replayed: rows are neither lost nor doubled.
+    Every micro-batch is screened, de-duplicated and held against the marks that the batches
+    before left beside the archive (``path_marks``: one row per deployment), so late rows are
+    refused per deployment, without reading the archive. ``path_refused`` counts them per
+    batch. A batch writes its own partitions and replaces them when replayed: rows are
+    neither lost nor doubled.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        held = _held(spark, path, batch_id)
-        rows = fresh_rows(batch, held, lateness_seconds=lateness_seconds)
-        rows.withColumn("mode", F.lit(mode)).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("mode", "batch").parquet(path)
+        held = _newest(spark, f"{path}_marks", batch_id)
+        offered = stored_table(batch, "offered")
+        newer = offered if held is None else after_marks(offered, held, lateness_seconds=lateness_seconds)
+        rows = stored_table(fresh_rows(newer, None), "fresh")
+        marks = rows.groupBy("deployment").agg(F.max("time").alias("mark"))
+        if held is not None:
+            marks = marks.unionByName(held).groupBy("deployment").agg(F.max("mark").alias("mark"))
+        refused = spark.createDataFrame([(offered.count() - newer.count(),)], "refused bigint")
+        _replace(rows.withColumn("mode", F.lit(mode)), path, batch_id, "mode")
+        _replace(refused, f"{path}_refused", batch_id)
+        _replace(marks, f"{path}_marks", batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def _held(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
+def _replace(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
+    df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch").parquet(path)
 
-    try:
-        return spark.read.parquet(path).where(F.col("batch") < batch_id)
-    except AnalysisException:
+
+def _newest(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The rows of the last batch before this one, if there is any."""
+    if not path_exists(spark, path):
         return None
+    before = spark.read.parquet(path).where(F.col("batch") < batch_id)
+    last = before.agg(F.max("batch").alias("v")).first()["v"]
+    return None if last is None else before.where(F.col("batch") == last).drop("batch")
+
+
+def refused_rows(query) -> int:
+    """Rows a finished query dropped as later than its lateness allows."""
+    return sum(state.numRowsDroppedByWatermark for p in query.recentProgress for state in p.stateOperators)
 
 
-def distinct_times(stream: DataFrame, keys, time: str = "time", lateness: str = "1 hour") -> DataFrame:
-    """One row per key and time; copies within the watermark are suppressed."""
+def distinct_times(stream: DataFrame, keys, lateness: str, time: str = "time") -> DataFrame:
+    """One row per key and time. State is kept for ``lateness``, the disorder the feed may have;
+    rows later than that are refused and counted (``refused_rows``)."""
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([*keys, time])
 
 
@@ -49,9 +69,13 @@ def latest_values(stream: DataFrame, key: str, values, time: str = "time") -> Da
         F.max_by(F.struct(*values), time).alias("_r")).select(key, "latest_time", "_r.*")
 
 
-def daily_completeness(stream: DataFrame, key: str = "site", time: str = "time", value: str = "value",
-                       min_hours: int = 18, lateness: str = "1 hour") -> DataFrame:
-    """Tumbling-day twin of the daily frame: (key, day, value, n, ok) of closed days."""
+def daily_completeness(stream: DataFrame, lateness: str, key: str = "site", time: str = "time", value: str = "value",
+                       min_hours: int = 18) -> DataFrame:
+    """Tumbling-day twin of the daily frame: (key, day, value, n, ok).
+
+    In append mode a day comes out once it is closed, ``lateness`` after the newest row; in
+    update mode as often as it changes. Rows later than that are refused and counted.
+    """
     v = C.clean(value)
     return (
         stream.withWatermark(time, lateness)
@@ -80,7 +104,7 @@ def held_position_stream(stream: DataFrame, path: str, checkpoint: str, max_hold
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fixes = batch.select("deployment", "time", "longitude", "latitude")
-        before = _table(spark, f"{path}/open", batch_id - 1)
+        before = _newest(spark, f"{path}/open", batch_id)
         if before is not None:
             marks = before.select("deployment", F.col("held_to").alias("mark"))
             ends = before.select("deployment", F.explode(F.array("held_from", "held_to")).alias("time"),
@@ -94,23 +118,11 @@ def held_position_stream(stream: DataFrame, path: str, checkpoint: str, max_hold
         closed = runs.join(tail.select("deployment", "run"), ["deployment", "run"], "left_anti").where(
             C.micros("held_to") - C.micros("held_from") >= int(max_hold_hours * 3_600_000_000)).drop("run")
         for frame, name in ((closed, "closed"), (tail.select("deployment", "r.*"), "open")):
-            frame.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
+            _replace(frame, f"{path}/{name}", batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def _table(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    if batch_id < 0:
-        return None
-    try:
-        return spark.read.parquet(path).where(F.col("batch") == batch_id).drop("batch")
-    except AnalysisException:
-        return None
-
-
 def held_positions_so_far(spark: SparkSession, path: str, max_hold_hours: float = 8.0) -> DataFrame:
     """Closed runs plus the open ones that are already long enough."""
     closed = spark.read.schema(RUNS).parquet(f"{path}/closed")  # may hold no run yet

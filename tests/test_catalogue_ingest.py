@@ -55,7 +55,7 @@ def test_archive_window_is_inclusive_and_prunes(spark, folder):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "salinity" not in plan and "PartitionFilters" in plan
     assert archive.read_archive(spark, folder, last_days=31, now="2020-06-01").count() == 2
-    with pytest.raises(ValueError, match="unknown variable"):
+    with pytest.raises(ValueError, match="not measured here"):
         archive.read_archive(spark, folder, variables=["nope"])
 
 
@@ -167,13 +167,33 @@ def test_label_upgrade_is_stale(frame):
 def test_lines_need_two_points_and_long_tracks_share_vertices(frame):
     v = frame([("a", k, -125.0 - k / 100, 48.0) for k in range(7)] + [("b", 0, -125.0, 48.0)], "name string, seq bigint, lon double, lat double")
     dep = frame([("a", "g", "p"), ("b", "g", "p")], "name string, glider string, project string")
+    import json
+
     whole = features.track_lines(v, dep).collect()
-    assert [r["name"] for r in whole] == ["a"] and '"n_points":7' in whole[0]["feature"]
-    parts = features.track_lines(v, dep, max_points=3).orderBy("part").collect()
+    assert [(r["name"], r["n_points"]) for r in whole] == [("a", 7)]
+    track = json.loads(whole[0]["feature"])["geometry"]["coordinates"]
+    for size in (2, 3, 4, 5, 7):
+        parts = features.track_lines(v, dep, piece_points=size).orderBy("piece").collect()
+        lines = [json.loads(r["feature"])["geometry"]["coordinates"] for r in parts]
+        assert lines[0] + [p for x in lines[1:] for p in x[1:]] == track and {r["n_points"] for r in parts} == {7}
+        assert all(2 <= len(x) <= size for x in lines) and all(x[-1] == y[0] for x, y in zip(lines, lines[1:]))
+
+
+def test_the_box_is_cut_before_pieces(frame):
+    inside = {1, 5, 6}
+    v = frame([("a", k, -125.0 if k in inside else -10.0, 48.0 + k / 100) for k in range(8)], "name string, seq bigint, lon double, lat double")
+    dep = frame([("a", "g", "p")], "name string, glider string, project string")
     import json
 
-    lines = [json.loads(r["feature"])["geometry"]["coordinates"] for r in parts]
-    assert [len(x) for x in lines] == [4, 4] and lines[0][-1] == lines[1][0]
+    parts = features.track_lines(v, dep, piece_points=2).orderBy("piece").collect()
+    assert [json.loads(r["feature"])["geometry"]["coordinates"] for r in parts] == [[[-125.0, 48.01], [-125.0, 48.05]], [[-125.0, 48.05], [-125.0, 48.06]]]
+
+
+def test_missions_without_an_end_stay(spark):
+    from brinewave.operators import catalogue
+
+    rows = spark.createDataFrame([("a", "g", "s", None), ("b", "g", "s", None), ("c", "h", "s", "1"), ("d", "h", "s", None)], "name string, glider string, start string, end string")
+    assert sorted(r["name"] for r in catalogue.collapse_missions(rows).collect()) == ["a", "c"]
 
 
 def test_publish_replaces_as_a_whole(spark, folder):

@@ -154,10 +154,13 @@ def test_coverage_crop_names_both_extents(spark):
         P.coverage_crop(bathy, data.select((F.col("lon") + 5).alias("lon"), "lat"))
 
 
-def test_same_cell_guard():
-    P.assert_same_cell(48.825, -125.275, 48.8250000001, -125.275)
-    with pytest.raises(ValueError, match="cell mismatch"):
-        P.assert_same_cell(48.825, -125.275, 48.875, -125.275)
+def test_same_cell_guard(spark):
+    def at(lat):
+        return spark.createDataFrame([("a", lat, -125.275)], "site string, lat double, lon double")
+
+    P.require_same_cell(at(48.825), at(48.8250000001), "site")
+    with pytest.raises(ValueError, match="another cell"):
+        P.require_same_cell(at(48.825), at(48.875), "site")
 
 
 def test_region_uses_population_deviation(spark):
