@@ -141,12 +141,15 @@ class GridConfig:
 class ScaleConfig:
     """How long sequences are cut so that no key is ever one task.
 
-    ``chunk_seconds`` is the time width of one window partition; a key with a third of
-    all rows is spread over as many tasks as it has chunks.
+    A window partition is a span of time of one key. The span is the widest of
+    ``chunk_widths`` (seconds) in which no key has more than ``chunk_rows`` rows, so
+    partitions stop growing when rows become dense; ``screen_widths`` are those of the
+    rolling screen, which copies a frame's rows at each edge.
     """
 
-    chunk_seconds: int = 86_400
-    screen_chunk_hours: int = 168
+    chunk_rows: int = 500_000
+    chunk_widths: tuple[int, ...] = (86_400, 3_600, 60, 1)
+    screen_widths: tuple[int, ...] = (168 * 3_600, 24 * 3_600)
     quantile_buckets: int = 1024
 
 

@@ -3,7 +3,8 @@
 A plain ``Window.partitionBy(key)`` sorts every row of a key in one task. Here a key is
 cut along time into chunks; the window runs per (key, chunk), and the little that has to
 cross a chunk boundary (the neighbouring row, or a prefix total) travels through a
-summary with one row per chunk. The result equals the uncut window.
+summary with one row per chunk. The result equals the uncut window. Unless it is given, the
+width of a chunk comes from counts, so that dense rows make narrower chunks.
 """
 
 from __future__ import annotations
@@ -19,14 +20,27 @@ from brinewave.config import DEFAULT_SCALE
 CHUNK = "_chunk"
 
 
-def time_chunk(time: str | Column, seconds: int | None = None) -> Column:
-    seconds = seconds or DEFAULT_SCALE.chunk_seconds
+def time_chunk(time: str | Column, seconds: int) -> Column:
     c = F.col(time) if isinstance(time, str) else time
     return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def width_for(df: DataFrame, keys: Sequence[str], time: str, widths: Sequence[int] = DEFAULT_SCALE.chunk_widths,
+              rows: int = DEFAULT_SCALE.chunk_rows) -> int:
+    """The widest of ``widths`` (seconds) in which no key has more than ``rows`` rows, else the narrowest.
+
+    The driver sees one number per width tried; nearly always the first will do.
+    """
+    for seconds in widths[:-1]:
+        counts = df.groupBy(*keys, time_chunk(time, seconds).alias(CHUNK)).agg(F.count(F.lit(1)).alias("n"))
+        if (counts.agg(F.max("n").alias("n")).first()["n"] or 0) <= rows:
+            return seconds
+    return widths[-1]
+
+
 def _neighbour(df, keys, order, values, out, seconds, forward: bool) -> DataFrame:
     keys, order = list(keys), list(order)
+    seconds = seconds or width_for(df, keys, order[0])
     payload = F.struct(*[F.col(v) for v in values])
     cut = df.withColumn(CHUNK, time_chunk(order[0], seconds))
     shift = F.lead if forward else F.lag
@@ -63,6 +77,7 @@ def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                      amount: Column, out: str, seconds: int | None = None) -> DataFrame:
     """Add ``out``: inclusive running total of ``amount`` in ``order`` within ``keys``."""
     keys, order = list(keys), list(order)
+    seconds = seconds or width_for(df, keys, order[0])
     cut = df.withColumn(CHUNK, time_chunk(order[0], seconds)).withColumn("_amount", amount)
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)

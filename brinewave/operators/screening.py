@@ -117,7 +117,8 @@ def despike(df: DataFrame, key: str = "site", time: str = "time", value: str = "
     is dropped.
     """
     half = int(cfg.half_window_hours * 3_600_000_000)
-    width = (chunk_hours or DEFAULT_SCALE.screen_chunk_hours) * 3_600_000_000
+    hours = chunk_hours or chunked.width_for(df, [key], time, DEFAULT_SCALE.screen_widths) // 3_600
+    width = hours * 3_600_000_000
     margin = 2 * half
     at = F.col("_us")
     home = F.floor(at / F.lit(width)).cast("long")
@@ -218,7 +219,8 @@ def position_runs(df: DataFrame, key: str = "deployment", seconds: int | None =
     """
     fixes = df.select(
         key, "time", F.bround("longitude", 6).alias("_x"), F.bround("latitude", 6).alias("_y")
-    ).distinct().withColumn("_chunk", chunked.time_chunk("time", seconds))
+    ).distinct()
+    fixes = fixes.withColumn("_chunk", chunked.time_chunk("time", seconds or chunked.width_for(fixes, [key], "time")))
     order = ["time", "_x", "_y"]
     inside = W.partitionBy(key, "_chunk").orderBy(*order)
     across = W.partitionBy(key).orderBy("_chunk")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brinewave.config import SOUND_BOX, STUDY_BOX, Box, GridConfig, HitTolerance
+from brinewave.config import DEFAULT_SCALE, SOUND_BOX, STUDY_BOX, Box, GridConfig, HitTolerance
 from brinewave.functions import columns as C
 
 
@@ -218,7 +218,8 @@ def nearest_step(targets: DataFrame, steps: DataFrame, key: str, target_key: str
         targets.schema[target_key].dataType)).unionByName(
         targets.select(key, F.col(time).alias("_t"), F.lit(None).cast("timestamp").alias("_step"),
                        F.col(target_key).alias("_id")))
-    spans = axis.withColumn("_chunk", chunked.time_chunk("_t", 86_400 * 30))
+    width = chunked.width_for(axis, [key], "_t", (86_400 * 30, *DEFAULT_SCALE.chunk_widths))
+    spans = axis.withColumn("_chunk", chunked.time_chunk("_t", width))
     edges = spans.groupBy(key, "_chunk").agg(F.max("_step").alias("_lastin"), F.min("_step").alias("_firstin"))
     back = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     ahead = W.partitionBy(key).orderBy("_chunk").rowsBetween(1, W.unboundedFollowing)

@@ -132,3 +132,18 @@ def test_buoy_tally_adds_up(spark):
     assert row["raw_records"] == 600 and row["out_of_range"] == 2 and row["spikes"] >= 1
     assert row["kept"] == row["hourly_bins"] - row["day_of_year_outliers"]
     assert S.screen_buoy(spark.createDataFrame(pdf)).count() == row["kept"]
+
+
+def test_chunks_follow_the_density(frame):
+    from brinewave.operators import chunked
+
+    rows = [("a", f"2020-01-01 00:{m:02d}:{s:02d}", float(m)) for m in range(30) for s in range(40)] + [("b", "2020-03-01 00:00:00", 1.0)]
+    df = frame(rows, "site string, time timestamp, value double")
+    assert chunked.width_for(df, ["site"], "time", rows=1200) == 86_400
+    assert chunked.width_for(df, ["site"], "time", rows=100) == 60
+    narrow = chunked.width_for(df, ["site"], "time", rows=10)
+    assert narrow == 1
+    for seconds in (86_400, 60, narrow):
+        got = chunked.with_row_number(df, ["site"], ["time"], "row", seconds).where("site = 'a'").orderBy("time").collect()
+        assert [r["row"] for r in got] == list(range(1, 1201))
+    assert chunked.width_for(df.limit(0), ["site"], "time") == 86_400
