@@ -26,9 +26,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id; of repeated rows, one."""
     found = hyperminhash.near_duplicates(docs)
     kept = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept-documents")
-    once = docs.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    out = docs.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    repeated = kept.where("copies > 1").select("doc_id")
+    if not repeated.isEmpty():  # seldom: another pass over the texts only then
+        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
