@@ -12,6 +12,7 @@ from brinewave.config import Recency, SeriesConfig
 from brinewave.functions import columns as C
 from brinewave.operators import chunked
 from brinewave.operators.screening import mask_held_positions, require
+from brinewave.session import stored_table
 
 
 def _pick(df, keys, order, last):
@@ -175,3 +176,20 @@ def month_order_checks(monthly: DataFrame, key: str = "site", month: str = "mont
     step = F.months_between(F.col(month), F.lag(month).over(w))
     return monthly.select(key, step.alias("_s")).groupBy(key).agg(
         F.bool_and(F.coalesce(F.col("_s") == 1, F.lit(True))).alias("contiguous"))
+
+
+def depth_places(rows: DataFrame, key: str = "site", depth: str = "depth") -> DataFrame:
+    """Places in depth order, unknown depths first, and from the deepest up, unknown last; ties by key.
+
+    Two sorts of the whole, with places added from the sizes of the sorted parts, so that
+    no task sees more than its part.
+    """
+    def placed(df: DataFrame, order, out: str) -> DataFrame:
+        ranged = stored_table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "depth-order")
+        sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")  # a row per part
+        return ranged.join(before, "_part").withColumn(
+            out, F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before")).drop("_part", "_before")
+
+    up = placed(rows, [F.col(depth).asc_nulls_first(), F.col(key)], "place")
+    return placed(up, [F.col(depth).desc_nulls_last(), F.col(key)], "from_below")

@@ -10,13 +10,14 @@ from brinewave.operators import catalogue as K
 from brinewave.operators import chunked
 from brinewave.operators import monthly as M
 from brinewave.operators import sequences as Q
+from brinewave.plans.ingest import fresh_path
 from brinewave.plans.registry import query
 from brinewave.plans.resampling import PARTIAL_SQL, STATION_RULE, station_daily
 from brinewave.plans.resampling import clim_sql
-from brinewave.sources import exchange, features
+from brinewave.sources import exchange, features, text_tables
 
 
-@query("catalogue_by_search", "J1 S6", "obs", """
+@query("catalogue_by_search", "J1", "obs", """
 , cat AS (SELECT deployment AS dataset_id, max(time) AS max_time FROM obs GROUP BY deployment)
 , hits AS (SELECT deployment AS dataset_id FROM obs WHERE event_id % 10 <> 0 GROUP BY deployment
            HAVING min(event_id) % 4 <> 3)
@@ -300,3 +301,67 @@ def _(v):
     files = table(v.spark, v.folder, "orders").select(
         F.concat(F.lit("/a/Folger_Ridge"), k, F.lit("_variables_x."), ext).alias("path"), F.lit("#HEADER").alias("first_line"))
     return exchange.discover_sites(files)
+
+
+def by_bucket(rows, value, path: str, names: int = 500) -> None:
+    """One JSON document for each bucket of about ``names`` deployments, each in a folder of its own."""
+    n = max(1, rows.count() // names)
+    rows.withColumn("bucket", F.pmod(F.xxhash64("deployment"), F.lit(n))).groupBy("bucket").agg(value.alias("value")).write.partitionBy(
+        "bucket").text(path)
+
+
+@query("catalogue_read_back", "S6", "vertices", """
+, v AS (SELECT name, round(lon, 2) AS lon, round(lat, 2) AS lat, row_number() OVER (PARTITION BY name ORDER BY time, lon, lat) AS p FROM vertices)
+SELECT name, concat('g', split_part(split_part(name, 'x', 1), 'g', 3)) AS glider, concat('http://data/', regexp_replace(name, '-[^-]*$', ''), '/', name) AS url, count(*) AS n,
+  round(sum((lon - 2 * lat) * p), 3) AS weighed FROM v GROUP BY name""")
+def _(v):
+    path = fresh_path(v, "collections")
+    ordered = F.array_sort(F.collect_list(F.struct("time", F.round("lon", 2).alias("x"), F.round("lat", 2).alias("y"))))
+    tracks = v.vertices.withColumnRenamed("lon", "lon_").select("name", "time", F.col("lon_").alias("lon"), "lat").groupBy(
+        F.col("name").alias("deployment")).agg(ordered.alias("p"))
+    number = F.split_part(F.split_part("deployment", F.lit("x"), F.lit(1)), F.lit("g"), F.lit(3))
+    feature = F.struct(F.struct(F.col("deployment").alias("deployment_name"), F.lit("g").alias("glider_name"), number.alias("glider_serial")).alias("properties"),
+                       F.struct(F.lit("LineString").alias("type"), F.transform("p", lambda p: F.array(p["x"], p["y"])).alias("coordinates")).alias("geometry"))
+    by_bucket(tracks, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))), path)
+    deployments, vertices = exchange.read_catalogue(v.spark, path, "http://data")
+    sums = vertices.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum((F.col("lon") - 2 * F.col("lat")) * (F.col("seq") + 1)), 3).alias("weighed"))
+    return deployments.select("name", "glider", "url").join(sums, "name")
+
+
+@query("watch_from_manifest", "S11 U6 J16", "catalogue", SNAP_SQL + """
+SELECT coalesce(p.deployment, c.deployment) AS deployment,
+  CASE WHEN p.deployment IS NULL AND l.deployment IS NULL THEN 'new' WHEN p.deployment IS NULL THEN 'returned'
+       WHEN c.deployment IS NULL THEN 'departed' ELSE 'advanced' END AS change
+FROM prev p FULL JOIN cur c ON p.deployment = c.deployment LEFT JOIN ledger l ON l.deployment = coalesce(p.deployment, c.deployment)
+WHERE p.deployment IS NULL OR c.deployment IS NULL OR p.last_fix <> c.last_fix""")
+def _(v):
+    prev, cur, ledger = snapshots(v)
+    path = fresh_path(v, "manifest")
+    stamp = F.date_format("last_fix", "yyyy-MM-dd'T'HH:mm:ss")
+    # transects and seen entries of a deployment travel together
+    both = prev.select("deployment", stamp.alias("fix")).join(
+        ledger.select("deployment", F.struct("first_seen", stamp.alias("last_fix"), "profiles_in_box").alias("entry")), "deployment", "full")
+    transects = F.collect_list(F.when(F.col("fix").isNotNull(), F.struct("deployment", F.col("fix").alias("last_fix"))))
+    seen = F.map_from_entries(F.collect_list(F.when(F.col("entry").isNotNull(), F.struct("deployment", "entry"))))
+    by_bucket(both, F.to_json(F.struct(F.lit(1).alias("schema"), transects.alias("transects"), seen.alias("seen"))), path)
+    held = exchange.read_manifest(v.spark, path)
+    was = held["transects"].select("deployment", F.to_timestamp("last_fix").alias("last_fix"))
+    now = cur.withColumn("last_fix", F.col("last_fix").cast("timestamp"))
+    return K.snapshot_diff(was, now, held["ledger"])
+
+
+@query("table_read_back", "S20", "station", """
+SELECT site, count(*) AS n, round(sum(round_even(value, 4)), 2) AS total, cast(cast(max(time) AS date) AS string) AS last_day FROM station GROUP BY site""")
+def _(v):
+    path = fresh_path(v, "table")
+    text_tables.write_table(v.station, path)
+    back = v.spark.read.option("header", True).schema("site string, time timestamp, value double, id bigint").csv(path)
+    return back.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.to_date(F.max("time")).cast("string").alias("last_day"))
+
+
+@query("sites_by_depth", "G6 G4", "sites", """
+, s AS (SELECT site, CASE WHEN depth >= 50 THEN depth END AS depth FROM sites)
+SELECT site, depth, row_number() OVER (ORDER BY depth NULLS FIRST, site) AS place, row_number() OVER (ORDER BY depth DESC NULLS LAST, site) AS from_below FROM s""")
+def _(v):
+    sites = v.sites.select("site", F.when(F.col("depth") >= 50, F.col("depth")).alias("depth"))
+    return Q.depth_places(sites)
