@@ -19,17 +19,30 @@ def axis_of(grid: DataFrame, index: str, centre: str) -> DataFrame:
     return grid.select(F.col(index).alias("idx"), F.col(centre).alias("centre")).distinct()
 
 
-def axis_edges(axis: DataFrame) -> DataFrame:
-    """(idx, centre, lo, hi): spacing per interval, ends extrapolated, one cell is +/- 0.5.
+def axis_neighbours(axis: DataFrame, per_chunk: int = 10_000) -> DataFrame:
+    """The axis with the centres before and after each one: (idx, centre, before, after).
 
-    An axis has one row per index, so its window is bounded by the grid's side.
+    The axis is cut into spans of equal width, about ``per_chunk`` centres each; the ends of
+    the spans reach their neighbours through a summary with one row per span.
     """
-    w = W.orderBy("centre")
-    before = F.col("centre") - F.lag("centre").over(w)
-    after = F.lead("centre").over(w) - F.col("centre")
+    facts = axis.agg(F.min("centre").alias("low"), F.max("centre").alias("high"), F.ceil(F.count(F.lit(1)) / per_chunk).alias("n"))
+    low, high, n = (facts.select(c).scalar() for c in ("low", "high", "n"))
+    span = F.least(n - 1, F.floor((F.col("centre") - low) / F.nullif(high - low, F.lit(0.0)) * n))
+    cut = axis.select("idx", "centre").withColumn("_span", F.coalesce(span, F.lit(0)))
+    inside, across = W.partitionBy("_span").orderBy("centre"), W.orderBy("_span")
+    ends = cut.groupBy("_span").agg(F.min("centre").alias("_a"), F.max("centre").alias("_b")).select(
+        "_span", F.lag("_b").over(across).alias("_prev"), F.lead("_a").over(across).alias("_next"))
+    return cut.withColumns({"_lag": F.lag("centre").over(inside), "_lead": F.lead("centre").over(inside)}).join(ends, "_span").select(
+        "idx", "centre", F.coalesce("_lag", "_prev").alias("before"), F.coalesce("_lead", "_next").alias("after"))
+
+
+def axis_edges(axis: DataFrame) -> DataFrame:
+    """(idx, centre, lo, hi): spacing per interval, ends extrapolated, one cell is +/- 0.5."""
+    c = F.col("centre")
+    before, after = c - F.col("before"), F.col("after") - c
     lo = F.coalesce(before, after, F.lit(1.0)) / 2
     hi = F.coalesce(after, before, F.lit(1.0)) / 2
-    return axis.select("idx", "centre", (F.col("centre") - lo).alias("lo"), (F.col("centre") + hi).alias("hi"))
+    return axis_neighbours(axis).select("idx", "centre", (c - lo).alias("lo"), (c + hi).alias("hi"))
 
 
 def ever_water(grid: DataFrame) -> DataFrame:

@@ -110,12 +110,30 @@ def first_track(points: DataFrame, fixes: DataFrame, point_key: str, order: str,
                 tol: float = HitTolerance().track_deg) -> DataFrame:
     """First track (by ``order``) with any fix within tolerance; first, not nearest.
 
-    Fixes repeat: first reduce them to the lowest ``order`` per exact position, so a
-    platform parked in one place is one row, whatever its share of the data.
+    Fixes are reduced to the lowest ``order`` per bin of a quarter of the tolerance. Bins
+    that lie whole inside a point's square answer for all their fixes at once; only bins on
+    the border are looked into fix by fix, and of these only ones that could still improve
+    on the whole bins.
     """
-    spots = fixes.groupBy("lon", "lat").agg(F.min(order).alias(order))
-    pairs = _near(points, spots, tol)
-    return pairs.groupBy(point_key).agg(F.min(f"t_{order}").alias(order))
+    side = tol / 4
+    cells = [c.alias(n) for c, n in zip(_grid_cells(F.col("lon"), F.col("lat"), side), ("_bx", "_by"))]
+    spots = fixes.groupBy("lon", "lat").agg(F.min(order).alias("_order")).select(*cells, "lon", "lat", "_order")
+    bins = spots.groupBy("_bx", "_by").agg(F.min("_order").alias("_least"))
+    steps = F.sequence(F.lit(-5), F.lit(5))
+    bx, by = _grid_cells(F.col("lon"), F.col("lat"), side)
+    looking = points.select(point_key, F.col("lon").alias("_x"), F.col("lat").alias("_y"), bx.alias("_px"), by.alias("_py")).withColumn(
+        "_bx", F.explode(F.transform(steps, lambda k: F.col("_px") + k))).withColumn("_by", F.explode(F.transform(steps, lambda k: F.col("_py") + k)))
+    room = tol - 1e-9  # a bin that is inside only by rounding is looked into
+
+    def inside(at, bin_):
+        return (F.col(at) - F.col(bin_) * side < room) & ((F.col(bin_) + 1) * side - F.col(at) < room)
+
+    met = looking.join(bins, ["_bx", "_by"]).withColumn("_whole", inside("_x", "_bx") & inside("_y", "_by"))
+    whole = met.where("_whole").groupBy(point_key).agg(F.min("_least").alias("_best"))
+    edge = met.where(~F.col("_whole")).join(whole, point_key, "left").where(F.col("_best").isNull() | (F.col("_least") < F.col("_best")))
+    seen = edge.join(spots, ["_bx", "_by"]).where((F.abs(F.col("_x") - F.col("lon")) < tol) & (F.abs(F.col("_y") - F.col("lat")) < tol))
+    return whole.select(point_key, F.col("_best").alias("_hit")).unionByName(seen.select(point_key, F.col("_order").alias("_hit"))).groupBy(
+        point_key).agg(F.min("_hit").alias(order))
 
 
 def distance_to_water(sites: DataFrame, cells: DataFrame, site_key: str, finest: float = 0.0625,

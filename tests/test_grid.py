@@ -246,3 +246,31 @@ def test_clipped_polygons_are_multi_part(spark):
     out = R.cell_polygons(g, mask=mask_of(spark, "~~~~~..... ~~~~~..... ~~........ ~~........ ~~........"))
     row = out.collect()
     assert len(row) == 1 and len(row[0]["parts"]) == 2 and row[0]["value"] == pytest.approx(12.34, abs=0.011)
+
+
+def test_axis_spans_do_not_change_edges(spark):
+    import random
+
+    from brinewave.operators.grid import axis_neighbours
+
+    r = random.Random(1)
+    centres = sorted({round(r.random() ** 4 * 100, 5) for _ in range(300)})
+    axis = spark.createDataFrame([(len(centres) - k, c) for k, c in enumerate(centres)], "idx int, centre double")
+    want = {c: (a, b) for a, c, b in zip([None, *centres], centres, [*centres[1:], None])}
+    for size in (1, 7, 1000):
+        assert {x["centre"]: (x["before"], x["after"]) for x in axis_neighbours(axis, size).collect()} == want
+    one = axis_neighbours(axis.limit(1)).collect()
+    assert len(one) == 1 and one[0]["before"] is None and one[0]["after"] is None
+
+
+def test_first_track_with_positions_that_do_not_repeat(spark):
+    import random
+
+    r = random.Random(2)
+    fixes = [(k, -125 + r.random() * 0.5, 48 + r.random() * 0.5) for k in r.sample(range(10_000), 2500)]
+    points = [(p, -125.1 + r.random() * 0.7, 47.9 + r.random() * 0.7) for p in range(80)] + [(100, -125.0, 48.0), (101, -124.75, 48.25)]
+    tol = 0.05
+    want = {p: min(hit) for p, x, y in points if (hit := [k for k, a, b in fixes if abs(a - x) < tol and abs(b - y) < tol])}
+    got = P.first_track(spark.createDataFrame(points, "point int, lon double, lat double"), spark.createDataFrame(fixes, "track int, lon double, lat double"),
+                        "point", "track", tol).collect()
+    assert {x["point"]: x["track"] for x in got} == want
