@@ -76,9 +76,10 @@ def fit(hashes: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels:
     if not toxic or toxic == n or not len(hashes):
         return empty
     vocabulary, word = np.unique(hashes, return_inverse=True)
-    seen = np.unique(np.stack([document, word]), axis=1) if len(word) else np.empty((2, 0), int)
-    with_word = np.bincount(seen[1], minlength=len(vocabulary))
-    in_toxic = np.bincount(seen[1], weights=labels[seen[0]], minlength=len(vocabulary))
+    in_document, of_word = np.divmod(np.unique(document.astype(np.int64) * len(vocabulary) + word), len(vocabulary))
+    with_word = np.bincount(of_word, minlength=len(vocabulary))
+    in_toxic = np.bincount(of_word, weights=labels[in_document], minlength=len(vocabulary))
+    del in_document, of_word
     in_clean = with_word - in_toxic
     lean = np.log((in_toxic + 0.5) / (toxic - in_toxic + 0.5)) - np.log((in_clean + 0.5) / (n - toxic - in_clean + 0.5))
     spread = np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5))
@@ -88,9 +89,8 @@ def fit(hashes: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels:
     number = np.full(len(vocabulary), -1)
     number[kept] = np.arange(len(kept))
     held = number[word] >= 0
-    cells = np.unique(np.stack([sentence[held], number[word[held]]]), axis=1)
-    where, s = np.unique(cells[0], return_inverse=True)
-    f = cells[1]
+    cells, f = np.divmod(np.unique(sentence[held].astype(np.int64) * len(kept) + number[word[held]]), len(kept))
+    where, s = np.unique(cells, return_inverse=True)
     of = np.empty(int(sentence.max()) + 1, np.int64)
     of[sentence] = document
     doc = of[where]
@@ -117,7 +117,7 @@ def fit(hashes: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id", text: str = "text", label: str = "toxic",
-                   max_documents: int = 12_000, seed: int = 3, **settings) -> Toxicity:
+                   max_documents: int = 5_000, seed: int = 3, **settings) -> Toxicity:
     """Fit on a bounded sample of the labelled documents for which ``training`` (over the key) holds."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(training).groupBy(F.col(key).alias("key")).agg(
         F.max(F.col(label).cast("int")).alias("label"))
@@ -142,6 +142,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, training: Column, key: st
     kind = rows.schema["key"].dataType.simpleString()
     got = arrow_map(rows, run, f"key {kind}, label int, sentence binary, hashes binary").dropDuplicates(["key"]).orderBy("key").toArrow()
     at, hashes, sentence, document = 0, [], [], []
+    # hashes and sentence numbers of the sample's words; the sample bounds them
     for d in range(got.num_rows):
         s = np.frombuffer(got["sentence"][d].as_py(), np.int32)
         hashes.append(np.frombuffer(got["hashes"][d].as_py(), np.uint64))
