@@ -169,3 +169,14 @@ def _(v):
     header = text_tables.commented_header(v.spark, path).where("key = 'cell_lat'")
     return back.agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
                     F.bround(F.avg("value"), 5).alias("mean")).withColumn("cell_lat", header.select("value").scalar())
+
+
+@query("steps_retired", "U5 S7", "grid", """
+SELECT cast(date AS string) AS date, count(*) AS cells, count(value) AS filled FROM grid
+WHERE date IN (SELECT DISTINCT date FROM grid ORDER BY date DESC LIMIT 4) GROUP BY date""")
+def _(v):
+    path = fresh_path(v, "layer")
+    features.publish(v.grid, path, "date")
+    archive.retire_steps(v.spark, path, 4)
+    return v.spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("date")).agg(
+        F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"))

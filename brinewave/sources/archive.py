@@ -109,3 +109,18 @@ def read_snapshot(spark: SparkSession, path: str, least: int = 2) -> DataFrame:
     from brinewave.operators.sequences import min_points
 
     return min_points(spark.read.parquet(path), "deployment", least)
+
+
+def retire_steps(spark: SparkSession, path: str, keep: int, partition: str = "date") -> list[str]:
+    """Delete all but the newest ``keep`` partitions of a stored layer; names of those deleted.
+
+    A partition goes as a folder, whole; running it again deletes nothing.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.isDirectory() and f.getPath().getName().startswith(f"{partition}="))
+    old = names[:max(0, len(names) - keep)]
+    for name in old:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+    return [name.partition("=")[2] for name in old]
