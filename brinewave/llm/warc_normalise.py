@@ -209,8 +209,10 @@ def repeats(listed: DataFrame, key_type: str, min_bytes: int = 100) -> DataFrame
 
 def normalise(listed: DataFrame, revisits: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Rewrite each raw file; (file, index, records) for each one written."""
-    files = listed.select("file").distinct()
+    files = stored(listed.select("file").distinct(), "warc-names")
     revisits = stored(revisits, "warc-repeats")
+    # names are few bytes: without a number of their own, partitions would be merged into a few tasks
+    tasks = max(1, files.count())
 
     def rewrite(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         again = {int(r.position): r for r in right.itertuples(index=False)}
@@ -241,7 +243,7 @@ def normalise(listed: DataFrame, revisits: DataFrame, folder: str, level: int =
             done.append((target, f"{target}.idx", n))
         return pd.DataFrame(done, columns=["file", "index", "records"])
 
-    written = files.groupBy("file").cogroup(revisits.groupBy("file")).applyInPandas(
+    written = files.repartition(tasks, "file").groupBy("file").cogroup(revisits.repartition(tasks, "file").groupBy("file")).applyInPandas(
         rewrite, "file string, index string, records bigint")
     return stored(written, "warc-files")
 
@@ -274,7 +276,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=names)
 
-    return arrow_map(files.select("file", "index").repartition("file"), run,
+    return arrow_map(files.select("file", "index").repartition(max(1, files.count()), "file"), run,
                      "key string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
 
 
