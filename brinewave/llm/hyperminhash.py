@@ -1,7 +1,7 @@
 """Near-duplicate documents by HyperMinHash sketches, banded, estimated and confirmed.
 
-A document is the set of its 2-word shingles (a shorter one its whole sequence). Links are
-pairs of sets with ``100 * |A & B| >= percent * |A | B|``; documents fall into components.
+A document is the set of its shingles of ``shingle`` words (a shorter one its whole sequence):
+two by the contract of op6, five in the pipeline. Links are pairs of sets with ``100 * |A & B| >= percent * |A | B|``; documents fall into components.
 
 * **Sketch.** Each shingle is hashed once per repeat; the leading bits choose a bucket, and
   a bucket keeps of its smallest hash the number of leading zeros (6 bits) and 10 bits of
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.llm.common import arrow_map, map_texts, stored
-from brinewave.llm.words import NOT_BLANK, Words, cut, mix
+from brinewave.llm.words import NOT_BLANK, Words, cut, grams, mix
 from brinewave.operators.components import connected_components
 
 REGISTERS, BAND, BANDS = 256, 5, 51
@@ -54,20 +54,23 @@ def level_of(n: int) -> int:
     return max(i for i, (least, _, _) in enumerate(LEVELS) if n >= least)
 
 
-def shingle_sets(words: Words) -> list[np.ndarray]:
-    """Sorted distinct hashes of the 2-word shingles of each text."""
+def shingle_sets(words: Words, shingle: int = 2) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of ``shingle`` words of each text."""
     h = words.hashes
-    pairs = mix((h[:-1] * _U(0x9FB21C651E98DF25)) ^ (h[:-1] >> _U(31)) ^ (h[1:] * _U(0xD6E8FEB86659FD93))) if len(h) > 1 else h[:0]
+    if shingle == 2:
+        runs = mix((h[:-1] * _U(0x9FB21C651E98DF25)) ^ (h[:-1] >> _U(31)) ^ (h[1:] * _U(0xD6E8FEB86659FD93))) if len(h) > 1 else h[:0]
+    else:
+        runs = grams(h, shingle)
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        if b - a > 1:
-            own = np.sort(pairs[a:b - 1])
+        if b - a >= shingle:
+            own = np.sort(runs[a:b - shingle + 1])
             new = np.empty(len(own), bool)
             new[0] = True
             np.not_equal(own[1:], own[:-1], out=new[1:])
             out.append(own[new])
-        else:
-            out.append(mix(h[a:b] ^ _U(0xA5A5A5A5A5A5A5A5)))
+        else:  # its whole sequence; nothing of an empty text
+            out.append(mix((grams(h[a:b], b - a) if b - a > 1 else h[a:b]) ^ _U(0xA5A5A5A5A5A5A5A5)))
     return out
 
 
@@ -146,9 +149,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, lev
     return np.maximum(equal - chance, 0) / n, n
 
 
-def _signatures(percent: int):
+def _signatures(percent: int, shingle: int):
     def work(texts: list[str]) -> dict[str, list]:
-        sets = shingle_sets(cut(texts, NOT_BLANK))
+        sets = shingle_sets(cut(texts, NOT_BLANK), shingle)
         n = np.array([len(s) for s in sets])
         held: list[list] = [[] for _ in sets]
         wanted: dict[int, list[int]] = {}
@@ -202,7 +205,7 @@ def _planes(reps: DataFrame) -> DataFrame:
     return arrow_map(flat, run, f"node {kind}, level int, " + ", ".join(f"{c} bigint" for c in PLANE_COLUMNS))
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, shingle: int, name: str) -> DataFrame:
     """The linked ones of (a, b): sketch estimate first, then the full sets."""
     kind = pairs.schema["a"].dataType.simpleString()
     pairs = stored(pairs, f"{name}-pairs")
@@ -242,7 +245,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int
             if node not in held:
                 if len(held) >= 8:
                     held.pop(next(iter(held)))
-                held[node] = shingle_sets(cut([text], NOT_BLANK))[0]
+                held[node] = shingle_sets(cut([text], NOT_BLANK), shingle)[0]
             return held[node]
 
         for batch in batches:
@@ -262,11 +265,11 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int
                             f"a {kind}, b {kind}"), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, shingle: int = 2) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each document; components are named by their smallest key."""
     rows = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
     signed = stored(map_texts(rows, ["node"], "n_shingles bigint, set_key binary, sketches array<struct<level:int,registers:binary>>",
-                              _signatures(percent)), "sketches")
+                              _signatures(percent, shingle)), "sketches")
     usable = signed.where("node is not null and n_shingles > 0")
     classes = stored(usable.groupBy("set_key").agg(F.min("node").alias("node")), "set-classes")
     reps = stored(
@@ -280,14 +283,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     stars = stored(shared.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands")), "stars")
     first = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
-    links = _confirmed(first, reps, texts, percent, "first")
+    links = _confirmed(first, reps, texts, percent, shingle, "first")
 
     # heads are smaller than members, so these links point upwards: two steps name most components
     up = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     above = up.select(F.col("node").alias("component"), F.col("component").alias("top"))
     named = up.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     rest = _apart(stars.select("a", "b"), named).join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirmed(rest, reps, texts, percent, "stars"))
+    links = links.unionByName(_confirmed(rest, reps, texts, percent, shingle, "stars"))
     parts = _components(links)
 
     placed = stored(shared.join(parts, "node", "left").select("band", "node", "n", "level", F.coalesce("component", "node").alias("component")), "placed-bands")
@@ -302,7 +305,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     cross = minor.join(with_planes.alias("y"), F.expr(f"x.band = y.band AND {fits}")).select(
         F.expr("greatest(x.node, y.node)").alias("a"), F.expr("least(x.node, y.node)").alias("b")).distinct()
     cross = cross.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    found = _confirmed(cross.select("a", "b"), reps, texts, percent, "cross")
+    found = _confirmed(cross.select("a", "b"), reps, texts, percent, shingle, "cross")
     if not found.isEmpty():
         parts = _components(links.unionByName(found))
 

@@ -14,6 +14,9 @@ from brinewave.llm import apportion, hyperminhash, pii_lstm, toxicity_mil, winno
 from brinewave.llm.common import stored, table
 from brinewave.llm.queries import TOXIC_AT, toxicity_model
 
+#: words in a shingle of the near-copy stage; op6_hyperminhash has two by its contract
+SHINGLE = 5
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold."""
@@ -24,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id; of repeated rows, one."""
-    found = hyperminhash.near_duplicates(docs)
+    found = hyperminhash.near_duplicates(docs, shingle=SHINGLE)
     kept = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept-documents")
     out = docs.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     repeated = kept.where("copies > 1").select("doc_id")

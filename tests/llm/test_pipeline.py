@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import corpus_pipeline
 from brinewave.llm import queries
 
@@ -42,3 +45,39 @@ def test_repeated_rows_and_null_ids(spark):
         "doc_id bigint, text string")
     got = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == [(False, 1), (False, 3), (True, None)]
+
+
+def kept_by_hand(docs, words=5, percent=80):
+    """Ids that stay when texts are compared pair by pair on sets of five words."""
+    sets = {}
+    for d, text in docs:
+        w = text.lower().split()
+        sets[d] = {tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))}
+    label = {d: d for d in sets}
+
+    def root(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            label[y] = x
+    return {d for d in sets if root(d) == d}
+
+
+def test_near_copies_on_five_words(spark):
+    r = random.Random(31)
+    names = [f"w{i}" for i in range(500)]
+    docs = []
+    for n in (1, 2, 3, 4, 5, 6, 9, 30, 80, 200, 400, 1200):
+        base = r.choices(names, k=n)
+        for step in (0, 0, 20, 60, 200, 400):
+            w = [f"new{i}" if step and i % step == step // 2 else x for i, x in enumerate(base)]
+            docs.append((len(docs), " ".join(w)))
+    docs += [(len(docs) + i, " ".join(r.choices("abc", k=k))) for i, k in enumerate((3, 4, 5, 300, 300, 500))]
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), "").collect()}
+    want = kept_by_hand(docs)
+    assert got == want
+    assert len(want - kept_by_hand(docs, words=2)) > 3  # no copies, though close on pairs of words
