@@ -274,3 +274,24 @@ def test_first_track_with_positions_that_do_not_repeat(spark):
     got = P.first_track(spark.createDataFrame(points, "point int, lon double, lat double"), spark.createDataFrame(fixes, "track int, lon double, lat double"),
                         "point", "track", tol).collect()
     assert {x["point"]: x["track"] for x in got} == want
+
+
+def test_clipped_layer_has_every_day(spark):
+    """One feature for each day of each wet cell with water, not those of the newest day alone."""
+    import os
+
+    from brinewave.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    registry.load()
+    grid = registry.Frames(spark, folder).grid.where("value is not null")
+    made = registry.QUERIES["clipped_layer_every_day"](spark, folder).toPandas()
+    drawn = set(zip(made["i"], made["j"]))
+    want = sorted((str(r["date"]), r["i"], r["j"]) for r in grid.collect() if (r["i"], r["j"]) in drawn)
+    assert sorted(zip(made["date"].astype(str), made["i"], made["j"])) == want
+    assert len({d for d, _, _ in want}) == grid.select("date").distinct().count() > 1
+    newest = registry.QUERIES["clipped_layer_features"](spark, folder).toPandas()
+    last = made[made["date"].astype(str) == max(d for d, _, _ in want)]
+    assert sorted(zip(last["i"], last["j"], last["parts"])) == sorted(zip(newest["i"], newest["j"], newest["parts"]))
