@@ -14,6 +14,7 @@ from brinewave.plans.ingest import fresh_path
 from brinewave.plans.registry import query
 from brinewave.plans.resampling import PARTIAL_SQL, STATION_RULE, station_daily
 from brinewave.plans.resampling import clim_sql
+from brinewave.session import stored_table
 from brinewave.sources import exchange, features, text_tables
 
 
@@ -303,26 +304,41 @@ def _(v):
     return exchange.discover_sites(files)
 
 
-def by_bucket(rows, value, path: str, names: int = 500) -> None:
-    """One JSON document for each bucket of about ``names`` deployments, each in a folder of its own."""
+def by_bucket(rows, value, path: str, names: int = 500, keys=("deployment",)) -> None:
+    """One JSON document for each bucket of about ``names`` rows, dealt by ``keys``, each in a folder of its own."""
     n = max(1, rows.count() // names)
-    rows.withColumn("bucket", F.pmod(F.xxhash64("deployment"), F.lit(n))).groupBy("bucket").agg(value.alias("value")).write.partitionBy(
+    rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("bucket").agg(value.alias("value")).write.partitionBy(
         "bucket").text(path)
 
 
+def write_catalogue(vertices, path: str, piece_points: int = 1_000, features: int = 500) -> None:
+    """Tracks of (name, time, lon, lat) as feature collections of about ``features`` pieces.
+
+    A track is a LineString for each ``piece_points`` vertices, which gives the number of its
+    first one, so neither a feature nor a document grows with a track. Vertices without a time
+    come last; those without a name are of no deployment.
+    """
+    time = F.coalesce(F.col("time").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")).alias("time")
+    named = vertices.where("name is not null").select("name", time, "lon", "lat")
+    rows = chunked.with_row_number(named, ["name"], ["time", "lon", "lat"], "row")
+    first = (F.floor((F.col("row") - 1) / piece_points) * piece_points).alias("first_vertex")
+    ordered = F.array_sort(F.collect_list(F.struct("row", F.round("lon", 2).alias("x"), F.round("lat", 2).alias("y"))))
+    pieces = stored_table(rows.groupBy(F.col("name").alias("deployment"), first).agg(ordered.alias("p")), "track-pieces")
+    number = F.split_part(F.split_part("deployment", F.lit("x"), F.lit(1)), F.lit("g"), F.lit(3))
+    feature = F.struct(
+        F.struct(F.col("deployment").alias("deployment_name"), F.lit("g").alias("glider_name"), number.alias("glider_serial"), "first_vertex").alias("properties"),
+        F.struct(F.lit("LineString").alias("type"), F.transform("p", lambda p: F.array(p["x"], p["y"])).alias("coordinates")).alias("geometry"))
+    by_bucket(pieces, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))), path, features,
+              ("deployment", "first_vertex"))
+
+
 @query("catalogue_read_back", "S6", "vertices", """
 , v AS (SELECT name, round(lon, 2) AS lon, round(lat, 2) AS lat, row_number() OVER (PARTITION BY name ORDER BY time, lon, lat) AS p FROM vertices)
 SELECT name, concat('g', split_part(split_part(name, 'x', 1), 'g', 3)) AS glider, concat('http://data/', regexp_replace(name, '-[^-]*$', ''), '/', name) AS url, count(*) AS n,
   round(sum((lon - 2 * lat) * p), 3) AS weighed FROM v GROUP BY name""")
 def _(v):
     path = fresh_path(v, "collections")
-    ordered = F.array_sort(F.collect_list(F.struct("time", F.round("lon", 2).alias("x"), F.round("lat", 2).alias("y"))))
-    tracks = v.vertices.withColumnRenamed("lon", "lon_").select("name", "time", F.col("lon_").alias("lon"), "lat").groupBy(
-        F.col("name").alias("deployment")).agg(ordered.alias("p"))
-    number = F.split_part(F.split_part("deployment", F.lit("x"), F.lit(1)), F.lit("g"), F.lit(3))
-    feature = F.struct(F.struct(F.col("deployment").alias("deployment_name"), F.lit("g").alias("glider_name"), number.alias("glider_serial")).alias("properties"),
-                       F.struct(F.lit("LineString").alias("type"), F.transform("p", lambda p: F.array(p["x"], p["y"])).alias("coordinates")).alias("geometry"))
-    by_bucket(tracks, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))), path)
+    write_catalogue(v.vertices, path)
     deployments, vertices = exchange.read_catalogue(v.spark, path, "http://data")
     sums = vertices.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum((F.col("lon") - 2 * F.col("lat")) * (F.col("seq") + 1)), 3).alias("weighed"))
     return deployments.select("name", "glider", "url").join(sums, "name")

@@ -89,6 +89,8 @@ CATALOGUE_FEATURES = T.StructType(
                                     T.StructField("comment", T.StringType()),
                                     T.StructField("url", T.StringType()),
                                     T.StructField("color", T.StringType()),
+                                    # of a piece of a longer track: its first vertex, from 0
+                                    T.StructField("first_vertex", T.LongType()),
                                 ]
                             ),
                         ),

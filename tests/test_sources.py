@@ -81,6 +81,26 @@ def test_catalogue_flattens_and_drops_empty_tracks(spark, tmp_path):
     assert vertices.where("name like '%0101'").count() == 2
 
 
+def test_long_tracks_travel_in_pieces(spark, frame, tmp_path):
+    """A deployment with most vertices is many bounded features in several documents, and comes back whole and in order."""
+    from brinewave.plans.catalogues import write_catalogue
+
+    rows = [("org-g1x1", f"2020-01-01T{i // 60:02d}:{i % 60:02d}:00", i / 100, -i / 100) for i in range(94)] + [
+        ("org-g1x1", None, 0.94, -0.94)] + [
+        (f"org-g2x{k}", "2020-01-01T00:00:00", float(k), 1.0) for k in range(2, 7)]
+    path = str(tmp_path / "collections")
+    write_catalogue(frame(rows[::-1], "name string, time timestamp, lon double, lat double"), path, piece_points=10, features=4)
+    documents = [json.loads(r["value"]) for r in spark.read.option("wholetext", True).text(path).collect()]
+    made = [f for d in documents for f in d["features"]]
+    assert len(documents) > 1 and len(made) == 10 + 5
+    assert max(len(f["geometry"]["coordinates"]) for f in made) == 10
+    assert max(sum(f["properties"]["deployment_name"] == "org-g1x1" for f in d["features"]) for d in documents) < 10
+    deployments, vertices = exchange.read_catalogue(spark, path, "s")
+    assert sorted(r["name"] for r in deployments.collect()) == ["org-g1x1"] + [f"org-g2x{k}" for k in range(2, 7)]
+    got = [(r["seq"], r["lon"], r["lat"]) for r in vertices.where("name = 'org-g1x1'").orderBy("seq").collect()]
+    assert got == [(i, i / 100, -i / 100) for i in range(95)]
+
+
 def test_manifest_versions(spark, tmp_path):
     empty = exchange.read_manifest(spark, str(tmp_path / "absent.json"))
     assert empty["transects"].count() == 0 and empty["ledger"].count() == 0
