@@ -251,7 +251,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int
         for batch in batches:
             keep = []
             for i, (a, b, x, y) in enumerate(zip(*[batch.column(c) for c in range(4)])):
-                s, t = shingles(a.as_py(), x.as_py()), shingles(b.as_py(), y.as_py())
+                s, t = shingles(str(a), x.as_py()), shingles(str(b), y.as_py())
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     keep.append(i)

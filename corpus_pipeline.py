@@ -26,13 +26,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id; of repeated rows, one."""
-    found = hyperminhash.near_duplicates(docs, shingle=SHINGLE)
-    kept = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept-documents")
-    out = docs.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    repeated = kept.where("copies > 1").select("doc_id")
-    if not repeated.isEmpty():  # seldom: another pass over the texts only then
-        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each group of near copies: that with the smallest id; of repeated rows, one.
+
+    Rows that share an id but not their text are documents of their own.
+    """
+    node, keyed = "doc_id", docs
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():  # seldom
+        node = "_node"
+        known = F.col("doc_id").isNotNull()
+        keyed = docs.withColumn(node, F.when(known, F.struct(F.col("doc_id").alias("id"), F.when(known, F.xxhash64("text")).alias("mark"))))
+    found = hyperminhash.near_duplicates(keyed, node, shingle=SHINGLE)
+    kept = stored(found.where(f"kept and {node} is not null").groupBy(node).agg(F.count("*").alias("copies")), "kept-documents")
+    out = keyed.join(kept.where("copies = 1").select(node), node, "left_semi").unionByName(keyed.where(f"{node} is null"))
+    repeated = kept.where("copies > 1").select(node)
+    if not repeated.isEmpty():  # another pass over the texts only then
+        out = out.unionByName(keyed.join(repeated, node, "left_semi").dropDuplicates([node]))
     return out.select(*docs.columns)
 
 

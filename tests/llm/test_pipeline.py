@@ -81,3 +81,12 @@ def test_near_copies_on_five_words(spark):
     want = kept_by_hand(docs)
     assert got == want
     assert len(want - kept_by_hand(docs, words=2)) > 3  # no copies, though close on pairs of words
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    r = random.Random(5)
+    one, two, three = (" ".join(f"w{r.randrange(900)}" for _ in range(120)) for _ in range(3))
+    rows = [(1, one), (1, two), (1, one), (2, two + " end"), (2, three), (3, three), (4, one + " end"), (5, ""), (5, None), (None, one)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "").collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got) == sorted(
+        [(1, one), (1, two), (2, three), (5, ""), (5, ""), (0, one)])
