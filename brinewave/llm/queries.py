@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewave.llm import apportion, hyperminhash, language_zstd, pii_lstm, quality_gbt, token_counts, toxicity_mil, url_rules, warc_normalise, winnowing
+from brinewave.llm import (
+    apportion,
+    collocations,
+    hyperminhash,
+    language_zstd,
+    pii_lstm,
+    quality_gbt,
+    quality_pu,
+    shared_search,
+    token_counts,
+    toxicity_mil,
+    url_rules,
+    warc_normalise,
+    winnowing,
+)
 from brinewave.llm.common import crc_mod, table
 
 QUERIES = {}
@@ -199,3 +213,76 @@ SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT
 def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in URL_RULES) + " AS r(host, path, verdict)")
     return url_rules.judge_urls(table(spark, folder, "pages"), rules)
+
+
+# -- op11 --------------------------------------------------------------------------------
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _cut_sql(size: int, k: int) -> str:
+    return (f"SELECT c.lang, c.phrase, c.a, {k} AS k, x.a AS l, y.a AS r FROM c JOIN f x ON x.key = c.lang || chr(1) || array_to_string(c.w[1:{k}], ' ') "
+            f"JOIN f y ON y.key = c.lang || chr(1) || array_to_string(c.w[{k + 1}:{size}], ' ') WHERE len(c.w) = {size}")
+
+
+OP11_SQL = f"""
+WITH p AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM (
+       SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents)),
+o AS (SELECT piece, lang, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM p),
+t AS MATERIALIZED (SELECT lang, w1, lead(w1, 1) OVER pieces AS w2, lead(w1, 2) OVER pieces AS w3 FROM o WINDOW pieces AS (PARTITION BY piece ORDER BY i)),
+g AS (SELECT lang, 1 AS k, w1 AS phrase FROM t UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM t WHERE w2 IS NOT NULL
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM t WHERE w3 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang || chr(1) || phrase AS key, lang, phrase, k, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cuts AS ({_cut_sql(2, 1)} UNION ALL {_cut_sql(3, 1)} UNION ALL {_cut_sql(3, 2)}),
+s AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE len(w) = 3
+                UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE len(w) = 3),
+longer AS (SELECT lang, phrase, max(a) AS m FROM inner_parts GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN longer USING (lang, phrase) WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query(sql=OP11_SQL)
+def op11_tiled_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+# -- op12 --------------------------------------------------------------------------------
+
+OP12_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_LETTER_WORDS} AS w FROM documents),
+o AS (SELECT row, doc_id, unnest(w) AS t FROM d),
+tf AS MATERIALIZED (SELECT row, doc_id, t, count(*) AS tf FROM o GROUP BY ALL),
+s AS MATERIALIZED (SELECT count(*) AS nd, sum(len(w))::BIGINT AS nt FROM d WHERE len(w) > 0),
+m AS (SELECT row, 100 - 50 + ((50 * len(w) * nd) // nt) AS m FROM d, s WHERE len(w) > 0),
+wt AS (SELECT t, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS wt FROM tf, s GROUP BY t, nd),
+q AS (SELECT DISTINCT item_id, unnest({_LETTER_WORDS}) AS t FROM benchmark),
+x AS (SELECT item_id, row, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN wt USING (t) JOIN tf USING (t) JOIN m USING (row) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@query(sql=OP12_SQL)
+def op12_shared_subexpressions(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# -- op13 --------------------------------------------------------------------------------
+
+GOOD_AT = 0.3
+
+
+@query
+def op13_positive_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    training = crc_mod(F.col("doc_id"), 5) != 0
+    model = quality_pu.train_quality(docs, table(spark, folder, "labels"), training)
+    return quality_pu.score_quality(docs, model).select(
+        "doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"))
