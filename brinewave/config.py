@@ -150,7 +150,8 @@ class ScaleConfig:
     chunk_rows: int = 500_000
     chunk_widths: tuple[int, ...] = (86_400, 3_600, 60, 1)
     screen_widths: tuple[int, ...] = (168 * 3_600, 24 * 3_600)
-    quantile_buckets: int = 1024
+    #: rows of several values that a cell of the quantiles may hold
+    quantile_rows: int = 250_000
 
 
 DEFAULT_SCALE = ScaleConfig()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from brinewave.session import cut_lineage
@@ -10,10 +10,17 @@ from brinewave.session import cut_lineage
 BROADCAST_ROWS = 200_000
 
 
+def measured(summary: DataFrame) -> tuple[DataFrame, int]:
+    """The summary written out, and its rows, counted while they are written."""
+    seen = Observation()
+    held = cut_lineage(summary.observe(seen, F.count(F.lit(1)).alias("n")))
+    return held, seen.get["n"]
+
+
 def small(summary: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Write a narrow summary out, count it, and mark it for broadcast up to ``limit`` rows."""
-    held = cut_lineage(summary)
-    return F.broadcast(held) if held.count() <= limit else held
+    held, n = measured(summary)
+    return F.broadcast(held) if n <= limit else held
 
 
 def join_checked(big: DataFrame, summary: DataFrame, keys, how: str = "inner",

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from brinewave.config import YeardayConfig
 from brinewave.functions import columns as C
-from brinewave.operators.quantile import build_pool, cell_of, fetch, group_quantiles, pool_quantiles
-from brinewave.operators.sizing import join_checked
+from brinewave.operators.quantile import build_pool, fetch, group_quantiles, pool_quantiles
+from brinewave.operators.sizing import join_checked, measured
 from brinewave.session import cut_lineage
 
 
@@ -152,15 +152,13 @@ def window_rank(readings: DataFrame, obs: DataFrame, key: str = "site", time: st
                 value: str = "value", window_days: int = 7) -> DataFrame:
     """(reading_id, percentile, n_compared, window_min, window_max).
 
-    Readings and history are never paired value by value. Both are placed in value cells
-    per (key, window day): lower cells count as a whole through a prefix sum, and only
-    rows in a reading's own cell are fetched and ordered with it.
+    Readings and history are never paired value by value. Both are placed in the value cells
+    of the key: lower cells count as a whole through a prefix sum, and only rows in a
+    reading's own cell are fetched and ordered with it.
     """
     pool = _pool(obs, key, time, value, window_days, 2)
     marks = readings.select("reading_id", key, C.yearday(time).alias("_t"), F.col(value).alias("_v"))
-    marks = marks.join(pool.extent, [key]).withColumn("_b", F.greatest(F.lit(-1), F.when(
-        F.col("_step") > 0, cell_of("_v")).otherwise(F.when(F.col("_v") < F.col("_lo"), -1).otherwise(
-            F.when(F.col("_v") > F.col("_lo"), 1).otherwise(0))))).drop("_lo", "_step", "_nb")
+    marks = pool.place(marks.where(F.col("_v").isNotNull()))
     marks = cut_lineage(marks)
     spots = marks.select(key, "_t", "_b", "_v").distinct()
     days = spots.select(key, "_t").distinct()
@@ -168,7 +166,7 @@ def window_rank(readings: DataFrame, obs: DataFrame, key: str = "site", time: st
     cells = pool.cells.join(days, [key, "_t"], "left_semi")
     totals = cells.groupBy(key, "_t").agg(F.sum("_c").alias("n_compared"), F.min("_min").alias("window_min"),
                                           F.max("_max").alias("window_max"))
-    asked = spots.select(key, "_t", "_b").distinct()
+    asked, n_asked = measured(spots.select(key, "_t", "_b").distinct())
     base = (
         cells.select(key, "_t", "_b", "_c").unionByName(asked.withColumn("_c", F.lit(0).cast("long")))
         .groupBy(key, "_t", "_b").agg(F.sum("_c").alias("_c"))
@@ -176,7 +174,7 @@ def window_rank(readings: DataFrame, obs: DataFrame, key: str = "site", time: st
         .drop("_c")
     )
     peers = W.partitionBy(key, "_t", "_b")
-    near = fetch(pool, asked, []).unionByName(spots.withColumn("_c", F.lit(0).cast("long")))
+    near = fetch(pool, asked, n_asked).unionByName(spots.withColumn("_c", F.lit(0).cast("long")))
     near = near.groupBy(key, "_t", "_b", "_v").agg(F.sum("_c").alias("_c"))
     below = near.withColumn("_lower", F.sum("_c").over(
         peers.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).drop("_c")

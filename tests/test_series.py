@@ -246,3 +246,47 @@ def test_calendar_chunks_do_not_overlap(frame):
     df = frame([("s", "2019-07-22", "2022-03-01")], "site string, a date, b date")
     out = [(str(r["chunk_start"]), str(r["chunk_end"])) for r in sequences.calendar_chunks(df, "site", "a", "b").orderBy("chunk").collect()]
     assert out == [("2019-07-22", "2020-07-21"), ("2020-07-22", "2021-07-21"), ("2021-07-22", "2022-03-01")]
+
+
+@pytest.mark.parametrize("shape", ["outlier", "crowd", "repeated", "two values"])
+def test_quantile_cells_stay_small_and_exact(spark, shape):
+    """One extreme outlier, a third of all rows within a thousandth of the range, a value that a third repeat."""
+    from brinewave.operators.quantile import build_pool, pool_quantiles
+
+    rng = np.random.default_rng(8)
+    n = 12_000
+    v = rng.normal(10, 1, n)
+    if shape == "outlier":
+        v[0] = 1e15
+    elif shape == "crowd":
+        v[: n // 3] = 10 + rng.uniform(0, 0.006, n // 3)
+        v[n // 3] = -1e9
+    elif shape == "repeated":
+        v[: n // 3] = 10.0
+    else:
+        v = rng.choice([1.0, 2.0], n)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b"], n, p=[0.9, 0.1]), "v": v})
+    most = 100
+    pool = build_pool(spark.createDataFrame(pdf), ["k"], "v", ranks=4, most=most)
+    cells = pool.cells.groupBy("k", "_b").agg(F.sum("_c").alias("n"), F.min("_min").alias("low"), F.max("_max").alias("high")).toPandas()
+    assert (cells[cells.low < cells.high].n <= most).all()
+    assert cells.sort_values(["k", "_b"]).groupby("k").apply(lambda c: (c.high.shift() < c.low).iloc[1:].all(), include_groups=False).all()
+    asked = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = pool_quantiles(pool, asked).toPandas().set_index("k")
+    for k, g in pdf.groupby("k"):
+        assert np.allclose(got.loc[k, "q"], np.quantile(g.v, asked), rtol=1e-12)
+    # values that are not in the record find their place between its cells
+    marks = spark.createDataFrame([("a", float(x)) for x in (-2e9, 9.5, 10.0, 11.25, 2e15)], "k string, _v double")
+    placed = [r["_b"] for r in pool.place(marks).orderBy("_v").collect()]
+    assert placed == sorted(placed)
+
+
+def test_deviation_with_split_cells(spark):
+    from brinewave.operators.quantile import build_pool, pool_deviation, pool_quantiles
+
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": "a", "v": np.concatenate([rng.normal(0, 1e-6, 3000), rng.normal(0, 5, 3000), [1e12]])})
+    pool = build_pool(spark.createDataFrame(pdf), ["k"], "v", most=50)
+    centre = pool_quantiles(pool, [0.5]).select("k", "_t", F.element_at("q", 1).alias("centre"))
+    got = pool_deviation(pool, centre).first()["spread"]
+    assert np.isclose(got, np.median(np.abs(pdf.v - np.median(pdf.v))), rtol=1e-12)
