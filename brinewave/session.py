@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +75,19 @@ def stored_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, for operators that run numpy in tasks."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED and not context.master.startswith("local"):
+        package = Path(__file__).resolve().parent
+        base = f"{tempfile.mkdtemp(prefix='brinewave-code-')}/{package.name}"
+        context.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there; any other trouble with the path is an error."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
