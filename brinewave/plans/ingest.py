@@ -12,7 +12,7 @@ from brinewave.operators.profile import high_water_marks
 from brinewave.plans.platforms import SCREENED
 from brinewave.plans.registry import query
 from brinewave.session import shared_folder
-from brinewave.sources import archive, features, text_tables
+from brinewave.sources import archive, features, text_tables, versions
 
 CUT = "2024-01-20"
 FRESH_SQL = SCREENED + """
@@ -92,12 +92,15 @@ def _(v):
 
 
 @query("content_unchanged", "U7", "station", """
-SELECT count(*) AS n, true AS same FROM station""")
+, p AS (SELECT id, time, value AS old, CASE WHEN id = (SELECT min(id) FROM station) THEN coalesce(value, 0) + 1 ELSE value END AS new FROM station)
+SELECT strftime(time, '%Y-%m') AS month, count(*) AS n, bool_and(old IS NOT DISTINCT FROM new) AS same FROM p GROUP BY 1""")
 def _(v):
-    rows = v.station
-    one = I.content_hash(rows.withColumn("updated", F.lit("a")))
-    two = I.content_hash(rows.repartition(5).withColumn("updated", F.lit("b"))).withColumnRenamed("fingerprint", "other")
-    return one.join(two, "n").select("n", (F.col("fingerprint") == F.col("other")).alias("same"))
+    altered = F.when(F.col("id") == v.station.select(F.min("id")).scalar(), F.coalesce("value", F.lit(0.0)) + 1).otherwise(F.col("value"))
+    before = v.station.withColumn("updated", F.lit("a"))
+    after = v.station.withColumn("value", altered).repartition(5).withColumn("updated", F.lit("b"))
+    month = F.date_format("time", "yyyy-MM")
+    one, two = (I.partition_hashes(x, month, "month") for x in (before, after))
+    return I.compared_partitions(one, two, "month").select("month", "n", "same")
 
 
 @query("mode_switch", "U8", "obs", """
@@ -111,8 +114,8 @@ SELECT cast(date AS string) AS date, count(*) AS cells, count(value) AS filled,
   round(avg(round_even(value * 100, 0) / 100), 6) AS mean FROM grid GROUP BY date""")
 def _(v):
     path = fresh_path(v, "grid")
-    features.publish(features.pack_grid(v.grid.where("j < 3")), path)
-    features.publish(features.pack_grid(v.grid), path)
+    versions.publish_version(features.pack_grid(v.grid.where("j < 3")), path)
+    versions.publish_version(features.pack_grid(v.grid), path)
     return features.unpack_grid(archive.read_grid(v.spark, path)).groupBy("date").agg(
         F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"), F.avg("value").alias("mean"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from brinewave.functions import columns as C
@@ -13,8 +14,9 @@ from brinewave.session import is_folder, prepare
 from brinewave.streaming import feeds
 
 
-#: the events span a month, so any order of their files is within this
-LATENESS = "40 days"
+def lateness(v, name: str, unit: str = "microsecond") -> str:
+    """The span of the input's times, cut to ``unit``: whatever the order of its parts, no row is later."""
+    return feeds.span_of(getattr(v, name).select(F.date_trunc(unit, "time").alias("time")))
 
 
 def event_stream(v, name: str):
@@ -31,9 +33,10 @@ def event_stream(v, name: str):
 
 def drain(writer) -> None:
     """Run to the end of the input; rows refused as too late are an error here, as the lateness covers the feed."""
-    running = writer.trigger(availableNow=True).start()
-    running.awaitTermination()
-    refused = feeds.refused_rows(running)
+    with feeds.LateRows(SparkSession.getActiveSession()) as late:
+        running = writer.trigger(availableNow=True).start()
+        running.awaitTermination()
+        refused = late.of(running)
     if refused:
         raise ValueError(f"{refused} rows came later than the feed's lateness allows")
 
@@ -74,7 +77,7 @@ def _(v):
 SELECT DISTINCT site, date_trunc('hour', time) AS time FROM sensor""")
 def _(v):
     hourly = event_stream(v, "sensor").select("site", F.date_trunc("hour", "time").alias("time"))
-    return to_table(v, feeds.distinct_times(hourly, ["site"], LATENESS), "distinct")
+    return to_table(v, feeds.distinct_times(hourly, ["site"], lateness(v, "sensor", "hour")), "distinct")
 
 
 @query("stream_latest_values", "U4", "sensor", """
@@ -87,7 +90,7 @@ def _(v):
 SELECT site, cast(cast(time AS date) AS string) AS day, round(CASE WHEN count(value) >= 18 THEN avg(value) END, 6) AS value,
   count(value) AS n, count(value) >= 18 AS ok FROM sensor GROUP BY site, cast(time AS date)""")
 def _(v):
-    return last_rows(v, feeds.daily_completeness(event_stream(v, "sensor"), LATENESS), ["site", "day"], "daily")
+    return last_rows(v, feeds.daily_completeness(event_stream(v, "sensor"), lateness(v, "sensor")), ["site", "day"], "daily")
 
 
 @query("stream_held_positions", "U10 W4", "obs", HELD_SQL + """

@@ -93,10 +93,11 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_grid(spark: SparkSession, path: str, last_days: int | None = None) -> DataFrame:
-    """A long grid table; ``last_days`` counts the steps present, not calendar days."""
+    """A long grid table, plain or published as versions; ``last_days`` counts the steps present, not calendar days."""
     from brinewave.operators.sequences import newest_steps
+    from brinewave.sources.versions import current
 
-    grid = spark.read.parquet(path)
+    grid = spark.read.parquet(current(spark, path))
     values = [c for c in grid.columns if c not in ("date", "source", "i", "j", "lat", "lon")]
     if len(values) != 1:
         raise ValueError(f"expected one data variable, found {values}")
@@ -111,16 +112,26 @@ def read_snapshot(spark: SparkSession, path: str, least: int = 2) -> DataFrame:
     return min_points(spark.read.parquet(path), "deployment", least)
 
 
-def retire_steps(spark: SparkSession, path: str, keep: int, partition: str = "date") -> list[str]:
-    """Delete all but the newest ``keep`` partitions of a stored layer; names of those deleted.
+def retire_steps(spark: SparkSession, path: str, keep: int, partition: str = "date", value: str = "value") -> list[str]:
+    """Delete the steps of a stored layer that are older than its newest ``keep`` filled ones; names of those deleted.
 
-    A partition goes as a folder, whole; running it again deletes nothing.
+    A step without a value does not count and goes only if it is older than those kept. Rows
+    without a step are older than all. A partition goes as a folder, whole; running it again
+    deletes nothing.
     """
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.isDirectory() and f.getPath().getName().startswith(f"{partition}="))
-    old = names[:max(0, len(names) - keep)]
+    names = [f.getPath().getName() for f in fs.listStatus(folder) if f.isDirectory() and f.getPath().getName().startswith(f"{partition}=")]
+    layer = spark.read.parquet(path)
+    filled = layer.where(F.col(partition).isNotNull())
+    filled = filled.where(C.clean(value).isNotNull()) if value in layer.columns else filled
+    newest = filled.select(F.col(partition).cast("string").alias("step")).distinct().orderBy(F.desc("step")).limit(keep)
+    oldest_kept = newest.agg(F.min("step").alias("step")).first()["step"]
+    if oldest_kept is None:  # nothing is filled, so nothing is newer than anything
+        return []
+    none = f"{partition}=__HIVE_DEFAULT_PARTITION__"
+    old = sorted(n for n in names if n == none or n.partition("=")[2] < oldest_kept)
     for name in old:
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-    return [name.partition("=")[2] for name in old]
+    return ["" if n == none else n.partition("=")[2] for n in old]

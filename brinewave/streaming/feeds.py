@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time as time_module
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from brinewave.functions import columns as C
 from brinewave.operators.incremental import after_marks, fresh_rows
@@ -51,14 +54,60 @@ def _newest(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     return None if last is None else before.where(F.col("batch") == last).drop("batch")
 
 
+class LateRows(StreamingQueryListener):
+    """Counts rows that queries drop as later than their lateness, in every report of every batch.
+
+    A query itself keeps only its newest reports; a listener is sent all of them. The count of
+    a query is whole once ``of`` has waited for its last report.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.dropped, self.ended = spark, {}, set()
+
+    def __enter__(self) -> LateRows:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped[str(event.runId)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.dropped[run] = self.dropped.get(run, 0) + sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def of(self, query, seconds: float = 60.0) -> int:
+        """Rows the finished query dropped."""
+        until = time_module.monotonic() + seconds
+        while str(query.runId) not in self.ended:
+            if time_module.monotonic() > until:
+                raise TimeoutError("the end of the query was not reported")
+            time_module.sleep(0.02)
+        return self.dropped.get(str(query.runId), 0)
+
+
+def span_of(rows: DataFrame, time: str = "time") -> str:
+    """A lateness that covers any order of these rows: from the oldest to the newest, and a second."""
+    low, high = rows.agg(F.min(C.micros(time)), F.max(C.micros(time))).first()
+    return f"{0 if low is None else (high - low) // 1_000_000 + 1} seconds"
+
+
 def refused_rows(query) -> int:
-    """Rows a finished query dropped as later than its lateness allows."""
+    """Rows a finished query dropped as later than its lateness allows, in its newest reports (see ``LateRows``)."""
     return sum(state.numRowsDroppedByWatermark for p in query.recentProgress for state in p.stateOperators)
 
 
 def distinct_times(stream: DataFrame, keys, lateness: str, time: str = "time") -> DataFrame:
     """One row per key and time. State is kept for ``lateness``, the disorder the feed may have;
-    rows later than that are refused and counted (``refused_rows``)."""
+    rows later than that are refused and counted (``LateRows``)."""
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([*keys, time])
 
 
