@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-
 from brinewave.functions import columns as C
 from brinewave.plans.ingest import FRESH_SQL, fresh_path
 from brinewave.plans.platforms import HELD_SQL
@@ -31,9 +29,9 @@ def event_stream(v, name: str):
     return v.spark.sql(text, events=raw)
 
 
-def drain(writer) -> None:
+def drain(v, writer) -> None:
     """Run to the end of the input; rows refused as too late are an error here, as the lateness covers the feed."""
-    with feeds.LateRows(SparkSession.getActiveSession()) as late:
+    with feeds.LateRows(v.spark) as late:
         running = writer.trigger(availableNow=True).start()
         running.awaitTermination()
         refused = late.of(running)
@@ -44,7 +42,7 @@ def drain(writer) -> None:
 def to_table(v, stream, name: str):
     """Run an append-mode stream into a parquet table and read it back."""
     path = fresh_path(v, name)
-    drain(stream.writeStream.outputMode("append").format("parquet").option("path", path).option(
+    drain(v, stream.writeStream.outputMode("append").format("parquet").option("path", path).option(
         "checkpointLocation", path + "_progress"))
     return v.spark.read.schema(stream.schema).parquet(path)
 
@@ -58,7 +56,7 @@ def last_rows(v, stream, keys, name: str):
             batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
-    drain(stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", path + "_progress"))
+    drain(v, stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", path + "_progress"))
     rest = [c for c in stream.columns if c not in keys]
     rows = v.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint").parquet(path)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
@@ -68,7 +66,7 @@ def last_rows(v, stream, keys, name: str):
 SELECT deployment, count(*) AS n, max(time) AS newest FROM pick GROUP BY deployment""")
 def _(v):
     path = fresh_path(v, "feed")
-    drain(feeds.ingest_stream(event_stream(v, "obs").drop("event_id"), path, path + "_progress", "realtime"))
+    drain(v, feeds.ingest_stream(event_stream(v, "obs").drop("event_id"), path, path + "_progress", "realtime"))
     return v.spark.read.parquet(path).groupBy("deployment").agg(
         F.count(F.lit(1)).alias("n"), F.max("time").alias("newest"))
 
@@ -97,5 +95,5 @@ def _(v):
 SELECT deployment, x AS longitude, y AS latitude, held_from, held_to FROM held""")
 def _(v):
     path = fresh_path(v, "held")
-    drain(feeds.held_position_stream(event_stream(v, "obs"), path, path + "_progress"))
+    drain(v, feeds.held_position_stream(event_stream(v, "obs"), path, path + "_progress"))
     return feeds.held_positions_so_far(v.spark, path).select("deployment", "longitude", "latitude", "held_from", "held_to")
