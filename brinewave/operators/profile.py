@@ -105,6 +105,18 @@ def coverage(df: DataFrame, names=SCIENCE) -> DataFrame:
     ).select("r.*")
 
 
+def coverage_by(df: DataFrame, key: str = "deployment", names=SCIENCE) -> DataFrame:
+    """(key, variable, pct, place): share of a key's rows carrying each variable, the best covered first.
+
+    One pass: all shares are aggregates of the same groups, and only they are unfolded. Places
+    of equal shares go by name.
+    """
+    share = df.groupBy(key).agg(*[(F.avg(C.clean(n).isNotNull().cast("double")) * 100).alias(n) for n in names])
+    order = F.array_sort(F.array(*[F.struct((-F.col(n)).alias("less"), F.lit(n).alias("variable")) for n in names]))
+    return share.select(key, F.posexplode(order).alias("place", "r")).select(
+        key, "r.variable", (-F.col("r.less")).alias("pct"), (F.col("place") + 1).alias("place"))
+
+
 def deployment_summary(df: DataFrame, key: str = "deployment") -> DataFrame:
     return df.groupBy(key).agg(
         F.count(F.lit(1)).alias("observations"), F.min("time").alias("first_time"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -193,3 +195,19 @@ def depth_places(rows: DataFrame, key: str = "site", depth: str = "depth") -> Da
 
     up = placed(rows, [F.col(depth).asc_nulls_first(), F.col(key)], "place")
     return placed(up, [F.col(depth).desc_nulls_last(), F.col(key)], "from_below")
+
+
+def united(frames: Sequence[DataFrame]) -> DataFrame:
+    """Frames of single deployments, sites or steps as one.
+
+    A column that some frames lack is null in their rows. A column of different types in two
+    frames is an error, not a cast. No frame gives no rows and is an error, as it has no columns.
+    """
+    if not frames:
+        raise ValueError("nothing to unite")
+    kinds: dict[str, str] = {}
+    for frame in frames:
+        for name, kind in frame.dtypes:
+            if kinds.setdefault(name, kind) != kind:
+                raise ValueError(f"{name} is {kinds[name]} in one frame and {kind} in another")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

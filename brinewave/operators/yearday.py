@@ -187,8 +187,28 @@ def window_rank(readings: DataFrame, obs: DataFrame, key: str = "site", time: st
 
 def last_archived(obs: DataFrame, key: str = "site", time: str = "time",
                   value: str = "value") -> DataFrame:
+    """The newest value of each key, the largest of equal times, and its time."""
     return obs.where(C.clean(value).isNotNull()).groupBy(key).agg(
-        F.max_by(value, time).alias("archived_last"), F.max(time).alias("archived_time"))
+        F.max_by(value, F.struct(time, value)).alias("archived_last"), F.max(time).alias("archived_time"))
+
+
+def score_table(readings: DataFrame, clim: DataFrame, obs: DataFrame, sites: DataFrame, key: str = "site", time: str = "time",
+                value: str = "value", window_days: int = 7, strict: bool = True) -> DataFrame:
+    """What a reader of scores sees: a row per reading, with the normal range and what the archive last held.
+
+    ``sites`` has (key, depth). Columns: reading_id, key, depth, time, reading, clim_mean, sd,
+    lo1, hi1, lo2, hi2, anomaly, z, percentile, verdict, archived_last, archived_time, and
+    ``place``: that of the site from the surface down, sites without a depth first.
+    """
+    from pyspark.sql import Window
+
+    # one row per site: the order is over sites, not over readings
+    placed = sites.select(key, "depth").withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_first("depth"), key)))
+    scored = score_readings(readings, clim, obs, key, time, value, window_days, strict)
+    out = join_checked(scored, last_archived(obs, key, time, value), key, "left")
+    out = join_checked(out, placed, key, "left")
+    return out.select("reading_id", key, "depth", "place", time, F.col(value).alias("reading"), "clim_mean", F.col("clim_sd").alias("sd"),
+                      "lo1", "hi1", "lo2", "hi2", "anomaly", "z", "percentile", F.col("label").alias("verdict"), "archived_last", "archived_time")
 
 
 def drift(readings: DataFrame, obs: DataFrame, key: str = "site", time: str = "time",

@@ -97,7 +97,7 @@ def readings(v):
         F.col("l_shipdate").alias("time"), (F.col("l_extendedprice") / 9973.0).alias("value"))
 
 
-@query("readings_scored", "A10 A11 G6", "station", CLIM_SQL + READINGS_SQL + f"""
+@query("readings_scored", "A10", "station", CLIM_SQL + READINGS_SQL + f"""
 , r AS (SELECT *, {yd('time')} AS yearday FROM readings)
 , srt AS (SELECT site, yearday, value FROM pool)
 , below AS (SELECT r.reading_id, count(*) AS n_compared, sum(CASE WHEN p.value < r.value THEN 1 ELSE 0 END) AS b,
@@ -113,6 +113,28 @@ def _(v):
                          "n_compared", "window_min", "window_max")
 
 
+@query("readings_table", "A11 G6", "station", CLIM_SQL + READINGS_SQL + f"""
+, r AS (SELECT *, {yd('time')} AS yearday FROM readings)
+, below AS (SELECT r.reading_id, count(*) AS n_compared, sum(CASE WHEN p.value < r.value THEN 1 ELSE 0 END) AS b
+    FROM r JOIN pool p ON p.site = r.site AND p.yearday = r.yearday GROUP BY 1)
+, last AS (SELECT site, arg_max(value, (time, value)) AS archived_last, max(time) AS archived_time FROM station WHERE value IS NOT NULL GROUP BY site)
+, depths AS (SELECT site, CASE WHEN left(site, 1) <> '5' THEN 10.0 * cast(left(site, 1) AS double) END AS depth FROM (SELECT DISTINCT site FROM station))
+, places AS (SELECT *, row_number() OVER (ORDER BY depth NULLS FIRST, site) AS place FROM depths)
+, s AS (SELECT r.*, c.mean AS m, CASE WHEN c.sd > 0 THEN c.sd END AS s FROM r LEFT JOIN clim c ON c.site = r.site AND c.yearday = r.yearday)
+SELECT s.reading_id, s.site, depth, place, s.time, round(s.value, 6) AS reading, round(m, 6) AS clim_mean, round(s.s, 6) AS sd,
+    round(m - s.s, 6) AS lo1, round(m + s.s, 6) AS hi1, round(m - 2 * s.s, 6) AS lo2, round(m + 2 * s.s, 6) AS hi2,
+    round(s.value - m, 6) AS anomaly, round((s.value - m) / s.s, 6) AS z, round(b * 100.0 / n_compared, 6) AS percentile,
+    CASE WHEN s.s IS NULL OR s.value IS NULL THEN 'no climatology' WHEN abs((s.value - m) / s.s) <= 1 THEN 'normal'
+         WHEN abs((s.value - m) / s.s) <= 2 THEN concat('unusually ', CASE WHEN s.value > m THEN 'warm' ELSE 'cool' END, ' (outside 1 sigma)')
+         ELSE concat('extreme ', CASE WHEN s.value > m THEN 'warm' ELSE 'cool' END, ' (outside 2 sigma)') END AS verdict,
+    round(archived_last, 6) AS archived_last, archived_time
+FROM s LEFT JOIN below USING (reading_id) LEFT JOIN last ON last.site = s.site LEFT JOIN places ON places.site = s.site""")
+def _(v):
+    first = F.substring("site", 1, 1)
+    sites = v.station.select("site").distinct().withColumn("depth", F.when(first != "5", 10.0 * first.cast("double")))
+    return Y.score_table(cut_lineage(readings(v)), station_clim(v, False), v.station, sites, strict=False)
+
+
 @query("reading_drift", "J22", "station", READINGS_SQL + """
 , last AS (SELECT site, arg_max(value, time) AS archived_last, max(time) AS archived_time FROM station
            WHERE (site, time) IN (SELECT (site, max(time)) FROM station GROUP BY site) GROUP BY site)

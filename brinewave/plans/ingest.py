@@ -158,7 +158,7 @@ def _(v):
         F.count(F.lit(1)).alias("n"), F.bround(F.avg("value"), 5).alias("mean"))
 
 
-@query("commented_history", "S5 S23 S20", "station", """
+@query("commented_history", "S5 S23", "station", """
 , d AS (SELECT cast(time AS date) AS day, avg(value) AS value FROM station GROUP BY 1)
 SELECT count(*) AS n, cast(min(day) AS string) AS first_day, cast(max(day) AS string) AS last_day, round(avg(value), 5) AS mean,
   '48.825' AS cell_lat FROM d""")

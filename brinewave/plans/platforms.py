@@ -25,7 +25,7 @@ ROUNDED = ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in RANGED)
 PLACE = "round(latitude, 6) AS latitude, round(longitude, 6) AS longitude"
 
 
-@query("archive_window", "S1 S11 U8", "obs", f"""
+@query("archive_window", "S1 U8", "obs", f"""
 SELECT deployment, split_part(deployment, '-', 2) AS glider, time, {PLACE}, depth,
        round(temperature, 6) AS temperature, salinity
 FROM obs WHERE time >= TIMESTAMP '2024-01-10' AND time <= TIMESTAMP '2024-01-20'""")
@@ -213,7 +213,7 @@ def _(v):
         "deployment", "time", "longitude", "latitude", "depth", "temperature")
 
 
-@query("live_view", "P1 P2 P5 W4 W14 W21 G1", None or "obs", _copy_sql().rsplit(" SELECT deployment", 1)[0] + """
+@query("live_view", "P1 P2 P5 W4 W14 W21", None or "obs", _copy_sql().rsplit(" SELECT deployment", 1)[0] + """
 , un AS (SELECT deployment, time, latitude, longitude, CASE WHEN depth BETWEEN -1 AND 1200 THEN depth END AS depth, """
        + ", ".join(f"CASE WHEN NOT c_{n} AND {n} BETWEEN {r} THEN {n} END AS {n}" for n, r in RANGED.items())
        + """ FROM obs JOIN k6 USING (deployment)
@@ -246,7 +246,27 @@ def _(v):
     return profile.coverage(v.obs)
 
 
-@query("deployment_summary", "A20 G4", "obs", """
+@query("coverage_by_deployment", "A20", "obs", ", c AS (" + " UNION ALL ".join(
+    f"SELECT deployment, '{n}' AS variable, count({n}) * 100.0 / count(*) AS pct FROM obs GROUP BY deployment" for n in SCIENCE) + """)
+SELECT deployment, variable, round(pct, 6) AS pct, row_number() OVER (PARTITION BY deployment ORDER BY pct DESC, variable) AS place FROM c""")
+def _(v):
+    return profile.coverage_by(v.obs)
+
+
+@query("deployments_united", "G1", "obs", """
+SELECT deployment, count(*) AS observations, count(temperature) AS temperatures, count(CASE WHEN glider NOT IN ('g1', 'g4') THEN oxygen_concentration END) AS oxygens,
+  count(CASE WHEN glider <> 'g2' THEN cdom END) AS cdoms FROM obs GROUP BY deployment""")
+def _(v):
+    lacking = {"g1": ["oxygen_concentration"], "g4": ["oxygen_concentration"], "g2": ["cdom"]}
+    # a fleet has a handful of gliders; each frame has the columns its glider carries
+    gliders = [r["glider"] for r in v.obs.select("glider").distinct().orderBy("glider").collect()]
+    frames = [v.obs.where(F.col("glider") == g).drop(*lacking.get(g, [])) for g in gliders]
+    return sequences.united(frames).groupBy("deployment").agg(
+        F.count(F.lit(1)).alias("observations"), F.count("temperature").alias("temperatures"),
+        F.count("oxygen_concentration").alias("oxygens"), F.count("cdom").alias("cdoms"))
+
+
+@query("deployment_summary", "A20", "obs", """
 SELECT deployment, count(*) AS observations, min(time) AS first_time, max(time) AS last_time, max(depth) AS max_depth
 FROM obs GROUP BY deployment""")
 def _(v):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+
 from brinewave.functions import columns as C
 from brinewave.plans.ingest import FRESH_SQL, fresh_path
 from brinewave.plans.platforms import HELD_SQL

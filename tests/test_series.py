@@ -290,3 +290,35 @@ def test_deviation_with_split_cells(spark):
     centre = pool_quantiles(pool, [0.5]).select("k", "_t", F.element_at("q", 1).alias("centre"))
     got = pool_deviation(pool, centre).first()["spread"]
     assert np.isclose(got, np.median(np.abs(pdf.v - np.median(pdf.v))), rtol=1e-12)
+
+
+def test_coverage_of_each_deployment_is_ordered(frame):
+    df = frame([("a", 1.0, None), ("a", 2.0, 5.0), ("b", None, 1.0), ("b", float("nan"), None), ("c", None, None)], "deployment string, temperature double, salinity double")
+    got = [tuple(r) for r in profile.coverage_by(df, names=("temperature", "salinity")).orderBy("deployment", "place").collect()]
+    assert got == [("a", "temperature", 100.0, 1), ("a", "salinity", 50.0, 2), ("b", "salinity", 50.0, 1), ("b", "temperature", 0.0, 2),
+                   ("c", "salinity", 0.0, 1), ("c", "temperature", 0.0, 2)]
+
+
+def test_frames_unite_by_name(frame):
+    a = frame([("a", 1.0)], "deployment string, temperature double")
+    b = frame([(2.0, "b", 3)], "cdom double, deployment string, n int")
+    got = {r["deployment"]: r.asDict() for r in sequences.united([a, b]).collect()}
+    assert got == {"a": {"deployment": "a", "temperature": 1.0, "cdom": None, "n": None}, "b": {"deployment": "b", "temperature": None, "cdom": 2.0, "n": 3}}
+    with pytest.raises(ValueError, match="temperature is double in one frame and string"):
+        sequences.united([a, frame([("c", "x")], "deployment string, temperature string")])
+    with pytest.raises(ValueError):
+        sequences.united([])
+
+
+def test_score_table_has_the_archive_and_the_sites_in_order(frame):
+    clim = frame([("s", 5, 10.0, 2.0, 8.0, 12.0, 6.0, 14.0), ("t", 5, 1.0, 1.0, 0.0, 2.0, -1.0, 3.0)],
+                 "site string, yearday int, mean double, sd double, lo1 double, hi1 double, lo2 double, hi2 double")
+    obs = frame([("s", "2020-01-05 00:00:00", 9.0), ("s", "2020-01-06 00:00:00", 11.0), ("s", "2020-01-07 00:00:00", None), ("t", "2020-01-04 00:00:00", 1.0)],
+                "site string, time timestamp, value double")
+    readings = frame([("r1", "s", "2021-01-05 00:00:00", 15.0), ("r2", "t", "2021-01-05 00:00:00", 1.5)], "reading_id string, site string, time timestamp, value double")
+    sites = frame([("s", 20.0), ("t", None)], "site string, depth double")
+    got = {r["reading_id"]: r for r in yearday.score_table(readings, clim, obs, sites).collect()}
+    r = got["r1"]
+    assert (r["place"], r["depth"], r["reading"], r["lo1"], r["hi2"], r["z"], r["percentile"]) == (2, 20.0, 15.0, 8.0, 14.0, 2.5, 100.0)
+    assert (r["archived_last"], str(r["archived_time"])) == (11.0, "2020-01-06 00:00:00") and r["verdict"] == "extreme warm (outside 2 sigma)"
+    assert (got["r2"]["place"], got["r2"]["depth"], got["r2"]["verdict"]) == (1, None, "normal")
