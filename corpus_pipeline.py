@@ -18,11 +18,18 @@ from brinewave.llm.queries import TOXIC_AT, toxicity_model
 SHINGLE = 5
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """The documents under names that no operator uses, those names, and that of the text."""
+    names = [f"_column_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, names[docs.columns.index("text")]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity_mil.score_toxicity(docs, model, docs.columns)
-    return scored.where(F.col("score") < TOXIC_AT).select(*docs.columns)
+    own, names, text = _renamed(docs)
+    scored = toxicity_mil.score_toxicity(own, model, names, text)
+    return scored.where(F.col("score") < TOXIC_AT).select(*names).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +53,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark."""
-    matched = winnowing.match_benchmark(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return matched.where("n_hit = 0").select(*docs.columns)
+    own, names, text = _renamed(docs)
+    matched = winnowing.match_benchmark(own, table(spark, sf_dir, "benchmark"), names, text)
+    return matched.where("n_hit = 0").select(*names).toDF(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
