@@ -7,6 +7,8 @@ document the mix takes. Rows with a null id are kept by every stage.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +20,29 @@ from brinewave.llm.queries import TOXIC_AT, toxicity_model
 SHINGLE = 5
 
 
-def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
-    """The documents under names that no operator uses, those names, and that of the text."""
-    names = [f"_column_{i}" for i in range(len(docs.columns))]
-    return docs.toDF(*names), names, names[docs.columns.index("text")]
+#: the columns of documents; all others travel under names that no operator uses
+OWN = {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def _keeping_others(stage):
+    """The stage with foreign columns under private names, so that none can clash with those of the operators."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in OWN else f"_column_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
+
+    return run
 
 
+@_keeping_others
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    own, names, text = _renamed(docs)
-    scored = toxicity_mil.score_toxicity(own, model, names, text)
-    return scored.where(F.col("score") < TOXIC_AT).select(*names).toDF(*docs.columns)
+    scored = toxicity_mil.score_toxicity(docs, model, docs.columns)
+    return scored.where(F.col("score") < TOXIC_AT).select(*docs.columns)
 
 
+@_keeping_others
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id; of repeated rows, one.
 
@@ -51,13 +62,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@_keeping_others
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark."""
-    own, names, text = _renamed(docs)
-    matched = winnowing.match_benchmark(own, table(spark, sf_dir, "benchmark"), names, text)
-    return matched.where("n_hit = 0").select(*names).toDF(*docs.columns)
+    matched = winnowing.match_benchmark(docs, table(spark, sf_dir, "benchmark"), docs.columns)
+    return matched.where("n_hit = 0").select(*docs.columns)
 
 
+@_keeping_others
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked and n_chars counted anew."""
     masked = pii_lstm.redact(docs, pii_lstm.train_tagger(docs))
