@@ -90,3 +90,21 @@ def test_rows_of_one_id_with_different_texts(spark):
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "").collect()
     assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got) == sorted(
         [(1, one), (1, two), (2, three), (5, ""), (5, ""), (0, one)])
+
+
+def test_stages_with_columns_named_like_those_of_the_operators(spark, folder):
+    """Every stage keeps the same rows, and foreign columns as they are, whatever these are called."""
+    from pyspark.sql import functions as F
+
+    names = ["score", "offending", "n_hit", "items", "spans", "n_words", "_text", "_masked", "_node", "kept", "base", "key", "component_id", "size", "taken"]
+    docs = queries_table(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(60))
+    extra = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        plain = {r["doc_id"]: r for r in stage(spark, docs, folder).collect()}
+        got = {r["doc_id"]: r for r in stage(spark, extra, folder).collect()}
+        assert got.keys() == plain.keys(), name
+        if name != "mixing":
+            assert all(r[n] == f"{n}{d}" for d, r in got.items() for n in names), name
+            assert all(r["text"] == plain[d]["text"] for d, r in got.items()), name
+        else:
+            assert all(r["taken"] == plain[d]["taken"] for d, r in got.items())
