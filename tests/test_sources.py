@@ -113,6 +113,16 @@ def test_manifest_versions(spark, tmp_path):
         exchange.read_manifest(spark, str(tmp_path / "m.json"), version=2)
 
 
+def test_a_manifest_of_many_documents_needs_one_version(spark, tmp_path):
+
+    for i, version in enumerate([1, 1, 1]):
+        (tmp_path / f"m{i}.json").write_text(json.dumps({"schema": version, "transects": [], "seen": {f"d{i}": {}}}))
+    assert exchange.read_manifest(spark, str(tmp_path))["ledger"].count() == 3
+    (tmp_path / "m9.json").write_text(json.dumps({"schema": 2, "transects": [], "seen": {}}))
+    with pytest.raises(ValueError, match="schema 2"):
+        exchange.read_manifest(spark, str(tmp_path))
+
+
 def test_platform_columns(frame):
     raw = frame([("234.5", 48.0, 5.0, 9.0), ("bad", 48.0, 5.0, 9.0), ("10", 48.0, None, 9.0)], "LNG string, Lat_Dec double, z double, Temp double")
     out = exchange.load_platform(raw, "temp")
