@@ -114,7 +114,6 @@ def test_manifest_versions(spark, tmp_path):
 
 
 def test_a_manifest_of_many_documents_needs_one_version(spark, tmp_path):
-
     for i, version in enumerate([1, 1, 1]):
         (tmp_path / f"m{i}.json").write_text(json.dumps({"schema": version, "transects": [], "seen": {f"d{i}": {}}}))
     assert exchange.read_manifest(spark, str(tmp_path))["ledger"].count() == 3
