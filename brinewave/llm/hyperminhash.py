@@ -12,12 +12,13 @@ two by the contract of op6, five in the pipeline. Links are pairs of sets with `
 * **Bands.** 51 bands of 5 registers. A pair at 0.8 misses all of them with probability
   (1 - 0.8^5)^51, below 2e-9.
 * **Copies first.** Documents of equal sets are one class; only its smallest id goes on.
-* **No pairs within a bucket.** Each member of a bucket is first tried with the bucket's
+* **Few pairs within a bucket.** Each member of a bucket is first tried with the bucket's
   smallest member only, beginning with the one it shares most bands with. Then, in buckets
   whose members are still in several components, every member outside the largest of these
   is tried with all members of other components whose sizes and low register bits allow a
-  link (the bits are compared in the join). Pairs already in one component need no test, so a bucket of thousands of near copies costs as many tests as it has members, and
-  no link between components is lost.
+  link (the bits are compared in the join). Pairs already in one component need no test, and no
+  link between components is lost. Members that are in no component yet and similar to nearly
+  all of a large one, below the threshold, are compared with all of it: their number times its size.
 * **Tests.** A pair goes on if its collision-corrected estimate is not more than six
   standard deviations below the threshold; the full sets, made from the whole texts, decide.
 
