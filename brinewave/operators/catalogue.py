@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinewave.config import STUDY_BOX, Box, Recency
 from brinewave.functions import columns as C
+from brinewave.operators import chunked
 
 
 def find_deployments(catalogue: DataFrame, hits: DataFrame, mode: str, institution: str,
@@ -42,25 +44,42 @@ def collapse_missions(catalogue: DataFrame) -> DataFrame:
     return catalogue.join(winner.select("name"), "name", "left_semi")
 
 
-def superseded(catalogue: DataFrame) -> DataFrame:
+def superseded(catalogue: DataFrame, parts: int | None = None) -> DataFrame:
     """Directories that lost, in name order, with the name that replaced each.
 
     Read in name order a later end replaces the incumbent: a replaced one names its
     replacement, a newcomer that does not beat the incumbent names the incumbent.
+
+    A scan over range parts of (glider, start, name): inside a part windows, between parts a
+    row per part and mission that carries the latest end so far, the last incumbent before
+    the part and the first winner after it. A mission of any size is many tasks. Null gliders
+    or starts are values of their own; of rows with equal names the earlier end comes first.
     """
-    from pyspark.sql import Window as W
-
-    # a mission has as many rows as it has directories, one per recovery
-    order = W.partitionBy("glider", "start").orderBy("name")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    after = order.rowsBetween(1, W.unboundedFollowing)
-    best_before = F.max("end").over(before)
-    wins = best_before.isNull() | (F.col("end") > best_before)
-    marked = catalogue.withColumn("_wins", wins)
-    held = marked.withColumn("_incumbent", F.last(F.when(F.col("_wins"), F.col("name")), ignorenulls=True).over(before)
-                             ).withColumn("_next", F.first(F.when(F.col("_wins"), F.col("name")), ignorenulls=True).over(after))
-    by = F.when(F.col("_wins"), F.col("_next")).otherwise(F.col("_incumbent"))
-    return held.withColumn("superseded_by", by).where(F.col("superseded_by").isNotNull()).select(
+    mission = ["glider", "start"]
+    cut = chunked.range_parts(catalogue, [*mission, "name"], parts)
+    local = W.partitionBy(chunked.PART, *mission)
+    before = local.orderBy("name", "end").rowsBetween(W.unboundedPreceding, -1)
+    # read backwards: a frame to the end of the part would be walked anew for each row
+    after = local.orderBy(F.desc("name"), F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*mission).orderBy(chunked.PART).rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(*mission).orderBy(F.desc(chunked.PART)).rowsBetween(W.unboundedPreceding, -1)
+    keys = [chunked.PART, *mission]
+
+    ends = cut.groupBy(*keys).agg(F.max("end").alias("_end")).withColumn("_carried", F.max("_end").over(earlier)).drop("_end")
+    marked = chunked.join_null_safe(cut, ends, keys)
+    best = F.greatest(F.col("_carried"), F.max("end").over(before))
+    marked = marked.withColumn("_winner", F.when(best.isNull() | (F.col("end") > best), F.col("name"))).drop("_carried")
+    rank = F.struct("name", "end")
+    won = F.col("_winner").isNotNull()
+    winners = marked.groupBy(*keys).agg(
+        F.max_by("_winner", F.when(won, rank)).alias("_last"), F.min_by("_winner", F.when(won, rank)).alias("_first"))
+    winners = winners.select(*keys, F.last("_last", ignorenulls=True).over(earlier).alias("_held"),
+                             F.last("_first", ignorenulls=True).over(later).alias("_coming"))
+    seen = marked.withColumns({"_incumbent": F.last("_winner", ignorenulls=True).over(before),
+                               "_next": F.last("_winner", ignorenulls=True).over(after)})
+    seen = chunked.join_null_safe(seen, winners, keys)
+    by = F.when(won, F.coalesce("_next", "_coming")).otherwise(F.coalesce("_incumbent", "_held"))
+    return seen.withColumn("superseded_by", by).where(F.col("superseded_by").isNotNull()).select(
         "name", "glider", "start", "end", F.concat(F.lit("superseded by "), F.col("superseded_by")).alias("skip"))
 
 

@@ -16,8 +16,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinewave.config import DEFAULT_SCALE
+from brinewave.session import stored_table
 
 CHUNK = "_chunk"
+PART = "_part"
+
+
+def range_parts(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """The rows in sorted parts of about equal size, numbered by ``_part``, for an order that is not time.
+
+    Parts are cut by a sample of the whole order, so a key of any size is spread over many;
+    rows that are equal in ``order`` share a part. Stored, so that the numbers stay.
+    """
+    by = [F.col(o) for o in order]
+    cut = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return stored_table(cut.withColumn(PART, F.spark_partition_id()), "range-parts")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which a null key equals a null key, as it does in a window."""
+    named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(named, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def time_chunk(time: str | Column, seconds: int) -> Column:

@@ -11,7 +11,7 @@ from brinewave.functions import columns as C
 from brinewave.functions import geometry as G
 from brinewave.operators.components import connected_components
 from brinewave.operators.sizing import join_checked, small
-from brinewave.session import cut_lineage
+from brinewave.session import cut_lineage, stored_table
 
 
 def axis_of(grid: DataFrame, index: str, centre: str) -> DataFrame:
@@ -25,10 +25,14 @@ def axis_neighbours(axis: DataFrame, per_chunk: int = 10_000) -> DataFrame:
     The axis is cut into spans of equal width, about ``per_chunk`` centres each; the ends of
     the spans reach their neighbours through a summary with one row per span.
     """
-    facts = axis.agg(F.min("centre").alias("low"), F.max("centre").alias("high"), F.ceil(F.count(F.lit(1)) / per_chunk).alias("n"))
-    low, high, n = (facts.select(c).scalar() for c in ("low", "high", "n"))
-    span = F.least(n - 1, F.floor((F.col("centre") - low) / F.nullif(high - low, F.lit(0.0)) * n))
-    cut = axis.select("idx", "centre").withColumn("_span", F.coalesce(span, F.lit(0)))
+    axis = stored_table(axis.select("idx", "centre"), "axis")  # asked twice; its source may be a whole grid
+    facts = axis.agg(F.min("centre").alias("low"), F.max("centre").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    span = F.lit(0)
+    if facts["n"] > per_chunk and facts["high"] > facts["low"]:
+        n = -(-facts["n"] // per_chunk)
+        share = (F.col("centre") - F.lit(facts["low"])) / F.lit(facts["high"] - facts["low"])
+        span = F.coalesce(F.least(F.lit(n - 1), F.floor(share * n)), F.lit(0))
+    cut = axis.withColumn("_span", span)
     inside, across = W.partitionBy("_span").orderBy("centre"), W.orderBy("_span")
     ends = cut.groupBy("_span").agg(F.min("centre").alias("_a"), F.max("centre").alias("_b")).select(
         "_span", F.lag("_b").over(across).alias("_prev"), F.lead("_a").over(across).alias("_next"))

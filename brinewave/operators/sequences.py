@@ -14,6 +14,7 @@ from brinewave.config import Recency, SeriesConfig
 from brinewave.functions import columns as C
 from brinewave.operators import chunked
 from brinewave.operators.screening import mask_held_positions, require
+from brinewave.operators.sizing import join_checked
 from brinewave.session import stored_table
 
 
@@ -85,26 +86,55 @@ def thin_series(df: DataFrame, key: str = "site", day: str = "day", value: str =
                 cfg: SeriesConfig = SeriesConfig()) -> DataFrame:
     """Keep a value once ``stride`` days have passed since the last kept; the tail is whole.
 
-    Greedy by nature, so each key is folded in order. What is folded is the series' distinct
-    days (one date each, a few thousand per record), never the rows themselves.
+    The rule is greedy, but a kept day alone decides which is kept next. So each day of the
+    older part links to the first one at least ``stride`` days on, links are doubled until
+    they span the longest record, and from the first day of each key all days are marked
+    that its chain meets: as many rounds as the logarithm of the longest chain, on distinct
+    days only, with no array or fold per key. Days without a value are not in the series.
     """
     held = df.where(C.clean(value).isNotNull())
     days = held.select(key, day).distinct()
-    cut = days.groupBy(key).agg(
-        F.array_sort(F.collect_list(day)).alias("_d"), F.max(day).alias("_max"))
-    cut = cut.withColumn("_cut", F.date_sub("_max", cfg.tail_days))
-    older = F.filter("_d", lambda d: d <= F.col("_cut"))
-    recent = F.filter("_d", lambda d: d > F.col("_cut"))
-    start = F.array().cast("array<date>")
-    kept = F.aggregate(
-        older, start,
-        lambda acc, d: F.when(
-            (F.size(acc) == 0) | (F.datediff(d, F.try_element_at(acc, F.lit(-1))) >= cfg.stride_days),
-            F.concat(acc, F.array(d))).otherwise(acc))
-    keep = cut.select(key, F.explode(F.concat(kept, recent)).alias(day))
+    ends = days.groupBy(key).agg(F.max(day).alias("_max"))
+    placed = stored_table(join_checked(days, ends, key).select(
+        key, day, (F.col(day) > F.date_sub("_max", cfg.tail_days)).alias("_tail")), "series-days")
+    older = placed.where(~F.col("_tail")).select(key, day)
+    starts = older.groupBy(key).agg(F.min(day).alias(day), F.max(day).alias("_to"))
+    longest = starts.agg(F.max(F.datediff("_to", day)).alias("n")).first()["n"] or 0
+    kept = starts.select(key, day)
+    stride = max(1, cfg.stride_days)  # days are distinct, so none and one are the same
+    chain = longest // stride
+    if chain:
+        jumps = [stored_table(_first_on(older, key, day, stride), "series-links")]
+        while 2 ** len(jumps) <= chain:
+            far = jumps[-1].select(key, F.col(day).alias("_to"), F.col("_to").alias("_far"))
+            jumps.append(stored_table(jumps[-1].join(far, [key, "_to"]).select(key, day, F.col("_far").alias("_to")), "series-links"))
+        for jump in reversed(jumps):
+            kept = stored_table(kept.unionByName(kept.join(jump, [key, day]).select(key, F.col("_to").alias(day))), "series-kept")
+    keep = kept.unionByName(placed.where("_tail").select(key, day))
     return held.join(keep, [key, day], "left_semi")
 
 
+def _first_on(days: DataFrame, key: str, day: str, stride: int, chunk_days: int = 3_660) -> DataFrame:
+    """(key, day, _to): the first day of the key at least ``stride`` days after each; none for the last ones.
+
+    Days and targets are read backwards together in chunks of time; a target with no day after
+    it in its own chunk takes the first day of the next chunk that has any.
+    """
+    chunk = F.floor(F.unix_date(F.col("_at")) / chunk_days).alias("_chunk")
+    real = days.select(key, F.col(day).alias("_at"), F.lit(None).cast("date").alias("_from"))
+    asked = days.select(key, F.date_add(day, stride).alias("_at"), F.col(day).alias("_from"))
+    both = real.unionByName(asked).select("*", chunk)
+    # on the same date the day itself comes before the question for it
+    back = W.partitionBy(key, "_chunk").orderBy(F.desc("_at"), F.col("_from").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
+    is_day = F.col("_from").isNull()
+    heads = both.groupBy(key, "_chunk").agg(F.min(F.when(is_day, F.col("_at"))).alias("_head")).select(
+        key, "_chunk", F.last("_head", ignorenulls=True).over(later).alias("_head"))
+    inside = both.withColumn("_to", F.last(F.when(is_day, F.col("_at")), ignorenulls=True).over(back))
+    found = inside.where(~is_day).join(heads, [key, "_chunk"])
+    return found.select(key, F.col("_from").alias(day), F.coalesce("_to", "_head").alias("_to")).where("_to is not null")
+
+
 def break_gaps(df: DataFrame, key: str = "site", day: str = "day", value: str = "value",
                cfg: SeriesConfig = SeriesConfig()) -> DataFrame:
     """Insert a null marker the day after the last sample before a long gap."""

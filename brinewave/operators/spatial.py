@@ -5,12 +5,17 @@ Range conditions are always rewritten to equi-joins on integer bins, never a nes
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinewave.config import DEFAULT_SCALE, SOUND_BOX, STUDY_BOX, Box, GridConfig, HitTolerance
 from brinewave.functions import columns as C
+from brinewave.operators import chunked
+from brinewave.operators.sizing import small
+from brinewave.session import stored_table
 
 
 def clip_to_box(df: DataFrame, lon: str = "longitude", lat: str = "latitude",
@@ -30,15 +35,15 @@ def snap_axis(points: DataFrame, edges: DataFrame, x: str, out: str) -> DataFram
     ``edges`` has (idx, lo, hi). Bins as wide as the mean cell turn the range into an
     equi-join: a cell lists the bins it touches, a point has one.
     """
-    width = edges.agg(F.avg(F.col("hi") - F.col("lo")).alias("w")).scalar()
-    first = edges.agg(F.min("lo").alias("a")).scalar()
-    bins = edges.withColumn("_w", width).withColumn("_a", first).withColumn(
-        "_bin", F.explode(F.sequence(
-            F.floor((F.col("lo") - F.col("_a")) / F.col("_w")),
-            F.floor((F.col("hi") - F.col("_a")) / F.col("_w"))))
+    edges = small(edges)
+    facts = edges.agg(F.avg(F.col("hi") - F.col("lo")).alias("w"), F.min("lo").alias("a")).first()
+    if facts["a"] is None:  # an axis without cells holds no point
+        return points.withColumn(out, F.lit(None).cast(edges.schema["idx"].dataType)).where(F.lit(False))
+    width, first = F.lit(facts["w"]), F.lit(facts["a"])
+    bins = edges.withColumn("_bin", F.explode(F.sequence(
+        F.floor((F.col("lo") - first) / width), F.floor((F.col("hi") - first) / width)))
     ).select("_bin", F.col("idx").alias(out), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    placed = points.withColumn("_w", width).withColumn("_a", first).withColumn(
-        "_bin", F.floor((F.col(x) - F.col("_a")) / F.col("_w"))).drop("_w", "_a")
+    placed = points.withColumn("_bin", F.floor((F.col(x) - first) / width))
     return placed.join(bins, "_bin").where(
         (F.col("_lo") < F.col(x)) & (F.col(x) <= F.col("_hi"))).drop("_bin", "_lo", "_hi")
 
@@ -63,77 +68,138 @@ def nearest_index(points: DataFrame, axis: DataFrame, x: str, out: str) -> DataF
     """
     from brinewave.operators.grid import axis_edges
 
-    edges = axis_edges(axis)
-    lo0 = edges.agg(F.min("lo").alias("v")).scalar()
-    hi0 = edges.agg(F.max("hi").alias("v")).scalar()
-    inner = points.withColumn("_x", F.least(F.greatest(F.col(x), lo0 + F.lit(1e-9)), hi0))
+    edges = small(axis_edges(axis))
+    ends = edges.agg(F.min("lo").alias("a"), F.max("hi").alias("b")).first()
+    inner = points.withColumn("_x", F.least(F.greatest(F.col(x), F.lit(ends["a"]).cast("double") + F.lit(1e-9)), F.lit(ends["b"]).cast("double")))
     return snap_axis(inner, edges, "_x", out).drop("_x")
 
 
-def _grid_cells(lon: Column, lat: Column, tol: float) -> list[Column]:
-    return [F.floor(lon / tol).cast("long"), F.floor(lat / tol).cast("long")]
+#: positions a bin may hold before it is looked into by its quarters, and how often bins are quartered at most
+LEAF, DEEPEST = 64, 8
+_SLACK = 1e-9  # corners are products, so they are off by rounding
 
 
-def _near(points: DataFrame, targets: DataFrame, tol: float) -> DataFrame:
-    """Pairs strictly within ``tol`` degrees on both axes.
+class _Bins:
+    """Positions in square bins of side ``tol``, each side cut in four again and again where positions crowd.
 
-    Targets are binned once; a point looks into its 3 x 3 neighbourhood of bins.
+    Positions are reduced to the lowest ``order`` at each. ``deepest`` is the first level
+    (at least ``least_level``) at which no bin has more than ``leaf`` positions, so that work per point
+    depends on the positions near it, not on how many share a square of the tolerance.
     """
-    binned = targets.select(
-        *[F.col(c).alias(f"t_{c}") for c in targets.columns],
-        *[c.alias(n) for c, n in zip(_grid_cells(F.col("lon"), F.col("lat"), tol), ("_bx", "_by"))])
-    bx, by = _grid_cells(F.col("lon"), F.col("lat"), tol)
-    ring = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    looking = (
-        points.withColumn("_bx", F.explode(F.transform(ring, lambda k: bx + k)))
-        .withColumn("_by", F.explode(F.transform(ring, lambda k: by + k)))
-    )
-    pairs = looking.join(binned, ["_bx", "_by"])
-    dx, dy = F.abs(F.col("lon") - F.col("t_lon")), F.abs(F.col("lat") - F.col("t_lat"))
-    return pairs.withColumn("_dx", dx).withColumn("_dy", dy).where(
-        (F.col("_dx") < tol) & (F.col("_dy") < tol))
+
+    def __init__(self, targets: DataFrame, order: str, tol: float, leaf: int, least_level: int = 0):
+        self.tol, self.finest = tol, tol / 4 ** DEEPEST
+        spots = targets.where("lon is not null and lat is not null").groupBy("lon", "lat").agg(F.min(order).alias("_order"))
+        self.spots = stored_table(spots.withColumns({"_fx": self._fine("lon"), "_fy": self._fine("lat")}), "spots")
+        self.deepest = least_level
+        while self.deepest < DEEPEST and self._crowd(self.deepest) > leaf:
+            self.deepest += 1
+
+    def _fine(self, at: str) -> Column:
+        return F.floor(F.col(at) / F.lit(self.finest)).cast("long")
+
+    def _at(self, fine: str, level: int) -> Column:
+        return F.shiftright(F.col(fine), 2 * (DEEPEST - level))
+
+    def _crowd(self, level: int) -> int:
+        sizes = self.spots.groupBy(self._at("_fx", level), self._at("_fy", level)).agg(F.count(F.lit(1)).alias("n"))
+        return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+
+    def level(self, level: int) -> DataFrame:
+        """(_bx, _by, _least) of the occupied bins, with those of the bin they are a quarter of, (_ux, _uy)."""
+        up = max(level - 1, 0)
+        return self.spots.groupBy(
+            self._at("_fx", level).alias("_bx"), self._at("_fy", level).alias("_by"), self._at("_fx", up).alias("_ux"), self._at("_fy", up).alias("_uy")
+        ).agg(F.min("_order").alias("_least"))
+
+    def placed(self, points: DataFrame, key: str) -> DataFrame:
+        """(key, _x, _y, _px, _py): points with their bin of the first level."""
+        return points.select(key, F.col("lon").alias("_x"), F.col("lat").alias("_y"),
+                             self._at_of("lon").alias("_px"), self._at_of("lat").alias("_py"))
+
+    def _at_of(self, at: str) -> Column:
+        return F.shiftright(self._fine(at), 2 * DEEPEST)
+
+    def around(self, placed: DataFrame) -> DataFrame:
+        """Points with each of the nine bins about them, whether occupied or not."""
+        ring = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+        return placed.withColumn("_bx", F.explode(F.transform(ring, lambda k: F.col("_px") + k))).withColumn(
+            "_by", F.explode(F.transform(ring, lambda k: F.col("_py") + k)))
+
+    def nearest(self, level: int) -> Column:
+        """Chebyshev distance from (_x, _y) to the nearest corner or edge of a bin."""
+        return F.greatest(F.lit(0.0), *[d for at, b in (("_x", "_bx"), ("_y", "_by")) for d in self._sides(at, b, level)])
+
+    def farthest(self, level: int) -> Column:
+        return F.greatest(*[-d for at, b in (("_x", "_bx"), ("_y", "_by")) for d in self._sides(at, b, level)])
+
+    def _sides(self, at: str, bin_: str, level: int) -> tuple[Column, Column]:
+        side = self.finest * 4 ** (DEEPEST - level)
+        return F.col(bin_) * side - F.col(at), F.col(at) - (F.col(bin_) + 1) * side
+
+    def quarters(self, met: DataFrame, level: int) -> DataFrame:
+        """The occupied bins of ``level`` inside the bins that ``met`` holds of the level above."""
+        return met.drop("_least").withColumnsRenamed({"_bx": "_ux", "_by": "_uy"}).join(small(self.level(level)), ["_ux", "_uy"]).drop("_ux", "_uy")
+
+    def positions(self, met: DataFrame) -> DataFrame:
+        """Each position in the bins of the last level, strictly within the tolerance on both axes."""
+        spots = self.spots.select(self._at("_fx", self.deepest).alias("_bx"), self._at("_fy", self.deepest).alias("_by"), "lon", "lat", "_order")
+        dx, dy = F.abs(F.col("_x") - F.col("lon")), F.abs(F.col("_y") - F.col("lat"))
+        return met.join(spots, ["_bx", "_by"]).where((dx < self.tol) & (dy < self.tol)).withColumn("distance", F.greatest(dx, dy))
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, point_key: str, site_key: str,
-                 tol: float = HitTolerance().site_deg) -> DataFrame:
+                 tol: float = HitTolerance().site_deg, leaf: int = LEAF) -> DataFrame:
     """Nearest site within tolerance (Chebyshev, strict); ties go to the first site listed.
 
     Both frames have ``lon`` and ``lat``; ``site_key`` gives the list order. Points without
-    a hit are absent.
+    a hit are absent. Where more than ``leaf`` sites share a square of the tolerance, a point
+    goes down into quarters of bins and keeps those whose nearest edge is not beyond the
+    farthest corner of another: it never meets all sites of a crowd.
     """
-    pairs = _near(points, sites, tol).withColumn("distance", F.greatest("_dx", "_dy"))
-    best = pairs.groupBy(point_key).agg(F.min(F.struct("distance", f"t_{site_key}")).alias("_b"))
-    return best.select(point_key, F.col(f"_b.t_{site_key}").alias(site_key), F.col("_b.distance"))
+    bins = _Bins(sites, site_key, tol, leaf)
+    met = bins.around(bins.placed(points, point_key)).drop("_px", "_py")
+    met = met.join(small(bins.level(0).drop("_ux", "_uy", "_least")), ["_bx", "_by"])
+    for level in range(1, bins.deepest + 1):
+        met = bins.quarters(met, level).drop("_least").withColumns({"_near": bins.nearest(level), "_far": bins.farthest(level)})
+        met = stored_table(met.where(F.col("_near") < tol + _SLACK), "near-bins")
+        best = met.groupBy(point_key).agg(F.min("_far").alias("_best"))
+        met = chunked.join_null_safe(met, best, [point_key]).where(F.col("_near") <= F.col("_best") + _SLACK).drop("_near", "_far", "_best")
+    best = bins.positions(met).groupBy(point_key).agg(F.min(F.struct("distance", "_order")).alias("_b"))
+    return best.select(point_key, F.col("_b._order").alias(site_key), F.col("_b.distance"))
 
 
 def first_track(points: DataFrame, fixes: DataFrame, point_key: str, order: str,
-                tol: float = HitTolerance().track_deg) -> DataFrame:
+                tol: float = HitTolerance().track_deg, leaf: int = LEAF) -> DataFrame:
     """First track (by ``order``) with any fix within tolerance; first, not nearest.
 
-    Fixes are reduced to the lowest ``order`` per bin of a quarter of the tolerance. Bins
-    that lie whole inside a point's square answer for all their fixes at once; only bins on
-    the border are looked into fix by fix, and of these only ones that could still improve
-    on the whole bins.
+    The bin of the tolerance that a point is in lies whole inside its square and answers for
+    all its fixes at once. Of the eight about it only those that hold an earlier track are
+    looked into, by quarters: a whole quarter answers again, quarters on the border that could
+    still improve are quartered further while they hold more than ``leaf`` positions, and only in
+    the last ones are positions compared.
     """
-    side = tol / 4
-    cells = [c.alias(n) for c, n in zip(_grid_cells(F.col("lon"), F.col("lat"), side), ("_bx", "_by"))]
-    spots = fixes.groupBy("lon", "lat").agg(F.min(order).alias("_order")).select(*cells, "lon", "lat", "_order")
-    bins = spots.groupBy("_bx", "_by").agg(F.min("_order").alias("_least"))
-    steps = F.sequence(F.lit(-5), F.lit(5))
-    bx, by = _grid_cells(F.col("lon"), F.col("lat"), side)
-    looking = points.select(point_key, F.col("lon").alias("_x"), F.col("lat").alias("_y"), bx.alias("_px"), by.alias("_py")).withColumn(
-        "_bx", F.explode(F.transform(steps, lambda k: F.col("_px") + k))).withColumn("_by", F.explode(F.transform(steps, lambda k: F.col("_py") + k)))
-    room = tol - 1e-9  # a bin that is inside only by rounding is looked into
-
-    def inside(at, bin_):
-        return (F.col(at) - F.col(bin_) * side < room) & ((F.col(bin_) + 1) * side - F.col(at) < room)
-
-    met = looking.join(bins, ["_bx", "_by"]).withColumn("_whole", inside("_x", "_bx") & inside("_y", "_by"))
-    whole = met.where("_whole").groupBy(point_key).agg(F.min("_least").alias("_best"))
-    edge = met.where(~F.col("_whole")).join(whole, point_key, "left").where(F.col("_best").isNull() | (F.col("_least") < F.col("_best")))
-    seen = edge.join(spots, ["_bx", "_by"]).where((F.abs(F.col("_x") - F.col("lon")) < tol) & (F.abs(F.col("_y") - F.col("lat")) < tol))
-    return whole.select(point_key, F.col("_best").alias("_hit")).unionByName(seen.select(point_key, F.col("_order").alias("_hit"))).groupBy(
-        point_key).agg(F.min("_hit").alias(order))
+    bins = _Bins(fixes, order, tol, leaf, least_level=1)
+    whole = F.col("_reach") < tol - _SLACK  # one that is inside only by rounding is looked into
+    top = small(bins.level(0).select("_bx", "_by", "_least"))
+    own = top.select(F.col("_bx").alias("_px"), F.col("_by").alias("_py"), F.col("_least").alias("_own"))
+    met = bins.around(bins.placed(points, point_key).join(own, ["_px", "_py"], "left"))
+    met = met.join(top, ["_bx", "_by"]).withColumn("_reach", bins.farthest(0))
+    met = stored_table(met.where(((F.col("_px") == F.col("_bx")) & (F.col("_py") == F.col("_by"))) | F.col("_own").isNull() | (F.col("_least") < F.col("_own")))
+                       .drop("_px", "_py", "_own"), "met-bins")
+    hits = []
+    for level in range(1, bins.deepest + 2):
+        hits.append(met.where(whole).select(point_key, F.col("_least").alias("_hit")))
+        known = hits[-1] if level == 1 else met.select(point_key, F.least("_best", F.when(whole, F.col("_least"))).alias("_hit"))
+        best = known.groupBy(point_key).agg(F.min("_hit").alias("_best"))
+        edge = chunked.join_null_safe(met.where(~whole).drop(*(["_best"] if level > 1 else [])), best, [point_key]).where(
+            F.col("_best").isNull() | (F.col("_least") < F.col("_best"))).drop("_reach")
+        if level > bins.deepest:
+            break
+        met = bins.quarters(edge, level).withColumn("_reach", bins.farthest(level)).where(bins.nearest(level) < tol + _SLACK)
+        met = stored_table(met.where(F.col("_best").isNull() | (F.col("_least") < F.col("_best"))), "met-bins")
+    hits.append(bins.positions(edge).select(point_key, F.col("_order").alias("_hit")))
+    return reduce(DataFrame.unionByName, hits).groupBy(point_key).agg(F.min("_hit").alias(order))
 
 
 def distance_to_water(sites: DataFrame, cells: DataFrame, site_key: str, finest: float = 0.0625,
