@@ -83,58 +83,44 @@ def prefer_final(steps: DataFrame, date: str = "date", label: str = "label") ->
 
 
 def thin_series(df: DataFrame, key: str = "site", day: str = "day", value: str = "value",
-                cfg: SeriesConfig = SeriesConfig()) -> DataFrame:
+                cfg: SeriesConfig = SeriesConfig(), span: int = 512) -> DataFrame:
     """Keep a value once ``stride`` days have passed since the last kept; the tail is whole.
 
-    The rule is greedy, but a kept day alone decides which is kept next. So each day of the
-    older part links to the first one at least ``stride`` days on, links are doubled until
-    they span the longest record, and from the first day of each key all days are marked
-    that its chain meets: as many rounds as the logarithm of the longest chain, on distinct
-    days only, with no array or fold per key. Days without a value are not in the series.
+    The rule is greedy, but all that an earlier day leaves to later ones is the date before
+    which nothing is kept, which reaches less than a stride into the next span of ``span`` days. So
+    each span says, for each date it may be entered with, the date it hands on; per key these are
+    followed from span to span, and then each span lists its own days. Arrays hold the
+    days of one span, and of a key a row per span.
     """
     held = df.where(C.clean(value).isNotNull())
     days = held.select(key, day).distinct()
     ends = days.groupBy(key).agg(F.max(day).alias("_max"))
-    placed = stored_table(join_checked(days, ends, key).select(
-        key, day, (F.col(day) > F.date_sub("_max", cfg.tail_days)).alias("_tail")), "series-days")
-    older = placed.where(~F.col("_tail")).select(key, day)
-    starts = older.groupBy(key).agg(F.min(day).alias(day), F.max(day).alias("_to"))
-    longest = starts.agg(F.max(F.datediff("_to", day)).alias("n")).first()["n"] or 0
-    kept = starts.select(key, day)
+    placed = join_checked(days, ends, key).select(
+        key, F.unix_date(day).alias("_d"), (F.col(day) > F.date_sub("_max", cfg.tail_days)).alias("_tail"))
     stride = max(1, cfg.stride_days)  # days are distinct, so none and one are the same
-    chain = longest // stride
-    if chain:
-        jumps = [stored_table(_first_on(older, key, day, stride), "series-links")]
-        while 2 ** len(jumps) <= chain:
-            far = jumps[-1].select(key, F.col(day).alias("_to"), F.col("_to").alias("_far"))
-            jumps.append(stored_table(jumps[-1].join(far, [key, "_to"]).select(key, day, F.col("_far").alias("_to")), "series-links"))
-        for jump in reversed(jumps):
-            kept = stored_table(kept.unionByName(kept.join(jump, [key, day]).select(key, F.col("_to").alias(day))), "series-kept")
-    keep = kept.unionByName(placed.where("_tail").select(key, day))
+    span = max(span, stride)
+    first = F.col("_span") * span
+
+    def follow(entry):
+        return F.aggregate("_days", entry.cast("int"), lambda free, d: F.when(d >= free, d + stride).otherwise(free))
+
+    spans = placed.groupBy(key, F.floor(F.col("_d") / span).cast("int").alias("_span"), "_tail").agg(
+        F.array_sort(F.collect_list("_d")).alias("_days"))
+    exits = F.transform(F.sequence(F.lit(0), F.lit(stride - 1)), lambda late: follow(first + late))
+    spans = stored_table(spans.withColumn("_exits", F.when(~F.col("_tail"), exits)), "series-spans")
+    older = spans.where(~F.col("_tail"))
+    route = older.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_span", "_exits"))).alias("_route"))
+    free = F.aggregate("_route", F.array(F.lit(-2 ** 31)), lambda seen, s: F.concat(seen, F.array(F.get(
+        s["_exits"], F.greatest(F.lit(0), F.element_at(seen, -1).cast("long") - s["_span"] * span).cast("int")))))
+    entered = route.select(key, free.alias("_free"), F.posexplode("_route").alias("_at", "_s")).select(
+        key, F.col("_s._span").alias("_span"), F.get("_free", F.col("_at")).alias("_entry"))
+    kept = F.aggregate("_days", F.array().cast("array<int>"), lambda seen, d: F.when(
+        d >= F.coalesce(F.try_element_at(seen, F.lit(-1)) + stride, F.col("_entry")), F.concat(seen, F.array(d))).otherwise(seen))
+    keep = older.join(entered, [key, "_span"]).select(key, kept.alias("_days")).unionByName(spans.where("_tail").select(key, "_days"))
+    keep = keep.select(key, F.explode("_days").alias("_d")).select(key, F.date_from_unix_date("_d").alias(day))
     return held.join(keep, [key, day], "left_semi")
 
 
-def _first_on(days: DataFrame, key: str, day: str, stride: int, chunk_days: int = 3_660) -> DataFrame:
-    """(key, day, _to): the first day of the key at least ``stride`` days after each; none for the last ones.
-
-    Days and targets are read backwards together in chunks of time; a target with no day after
-    it in its own chunk takes the first day of the next chunk that has any.
-    """
-    chunk = F.floor(F.unix_date(F.col("_at")) / chunk_days).alias("_chunk")
-    real = days.select(key, F.col(day).alias("_at"), F.lit(None).cast("date").alias("_from"))
-    asked = days.select(key, F.date_add(day, stride).alias("_at"), F.col(day).alias("_from"))
-    both = real.unionByName(asked).select("*", chunk)
-    # on the same date the day itself comes before the question for it
-    back = W.partitionBy(key, "_chunk").orderBy(F.desc("_at"), F.col("_from").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    later = W.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
-    is_day = F.col("_from").isNull()
-    heads = both.groupBy(key, "_chunk").agg(F.min(F.when(is_day, F.col("_at"))).alias("_head")).select(
-        key, "_chunk", F.last("_head", ignorenulls=True).over(later).alias("_head"))
-    inside = both.withColumn("_to", F.last(F.when(is_day, F.col("_at")), ignorenulls=True).over(back))
-    found = inside.where(~is_day).join(heads, [key, "_chunk"])
-    return found.select(key, F.col("_from").alias(day), F.coalesce("_to", "_head").alias("_to")).where("_to is not null")
-
-
 def break_gaps(df: DataFrame, key: str = "site", day: str = "day", value: str = "value",
                cfg: SeriesConfig = SeriesConfig()) -> DataFrame:
     """Insert a null marker the day after the last sample before a long gap."""

@@ -69,25 +69,20 @@ def thinned(days, stride, tail):
 
 
 @pytest.mark.parametrize("stride,tail", [(7, 7), (1, 0), (30, 3), (2, 400)])
-def test_thinning_by_links_equals_the_loop(spark, stride, tail):
+def test_thinning_by_spans_equals_the_loop(spark, stride, tail):
     r = random.Random(stride)
     first = dt.date(1969, 6, 1)
     records = {"dense": list(range(2_500)), "sparse": r.sample(range(20_000), 60), "mixed": r.sample(range(9_000), 1_500), "one": [5], "two": [0, 4_000]}
     rows = [(k, first + dt.timedelta(days=d), 1.0) for k, days in records.items() for d in days]
     rows += [("mixed", rows[0][1], None), ("dense", first + dt.timedelta(days=9), 2.0)]  # no value; a day twice
-    got = sequences.thin_series(spark.createDataFrame(rows, "site string, day date, value double"), cfg=SeriesConfig(stride_days=stride, tail_days=tail))
-    kept = {k: sorted({x["day"] for x in got.where(F.col("site") == k).collect()}) for k in records}
-    assert kept == {k: thinned([first + dt.timedelta(days=d) for d in days], stride, tail) for k, days in records.items()}
+    frame, cfg = spark.createDataFrame(rows, "site string, day date, value double"), SeriesConfig(stride_days=stride, tail_days=tail)
+    want = {k: thinned([first + dt.timedelta(days=d) for d in days], stride, tail) for k, days in records.items()}
+    for span in (10, 512):
+        got = sequences.thin_series(frame, cfg=cfg, span=span).select("site", "day").distinct().collect()
+        assert {k: sorted(x["day"] for x in got if x["site"] == k) for k in records} == want
     assert sequences.thin_series(spark.createDataFrame([], "site string, day date, value double")).count() == 0
 
 
-def test_next_day_crosses_empty_chunks(spark):
-    days = spark.createDataFrame([("s", dt.date(2000, 1, 1)), ("s", dt.date(2000, 1, 8)), ("s", dt.date(2011, 1, 1))], "k string, d date")
-    for width in (1, 5, 3_660):
-        got = {str(x["d"]): str(x["_to"]) for x in sequences._first_on(days, "k", "d", 7, width).collect()}
-        assert got == {"2000-01-01": "2000-01-08", "2000-01-08": "2011-01-01"}
-
-
 def crowded(n, seed):
     """Most places within a hundredth of the tolerance, others spread out, some repeated."""
     r = np.random.default_rng(seed)
