@@ -1,8 +1,9 @@
 """Language identification by compression: the dictionary that shortens a text most names its language.
 
 For each language of the labelled rows a raw-content dictionary is cut from a bounded sample
-of its texts: at most ``docs_per_language`` documents, an equal share of each, up to
-``dictionary_bytes``. A text is encoded whole, in pieces, with every language's dictionary;
+of its texts: at most ``docs_per_language`` different ones, an equal share of each, up to
+``dictionary_bytes``. They are chosen by a hash of key and text, at most twice that number of rows a
+language reach the driver, and neither null nor repeated keys nor repeated rows change that. A text is encoded whole, in pieces, with every language's dictionary;
 the sums of the encoded sizes decide. The score is the weight of the best language when
 each is weighed by exp(-``steepness`` x its excess size relative to the best); a text whose
 runner-up comes within ``margin`` of the best, relatively, is ``rejected``: the operator's
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.llm.common import map_texts
+from brinewave.llm.common import map_texts, stored
 
 PIECE = 1 << 15
 UNDECIDED = "und"
@@ -57,21 +58,21 @@ def train_dictionaries(docs: DataFrame, training: Column, text: str = "text", la
                        docs_per_language: int = 300, dictionary_bytes: int = 1 << 15, max_languages: int = 256,
                        seed: int = 5) -> dict[str, bytes]:
     """Dictionary of each language, from a hash-chosen sample of the rows where ``training`` holds."""
-    rows = docs.where(training & F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), key).alias("mark"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
+    labelled = docs.where(training & F.col(label).isNotNull() & F.col(text).isNotNull())
+    rows = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"),
+                           F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("mark"))
+    # of each language the smallest hash in each of a fixed number of slots: plain minima, so at most languages x slots rows
+    slot = F.pmod("mark", F.lit(2 * docs_per_language))
+    least = stored(rows.groupBy("label", slot.alias("slot")).agg(F.min("mark").alias("mark")), "language-picks")
+    names = least.select("label").distinct().limit(max_languages + 1).count()
+    if names > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    if not counts:
-        return {}
-    # the smallest hashes of each language: a threshold first, so that few rows carry text on
-    tops = [F.when(F.col("label") == name, F.lit(int(min(1.0, 2.0 * docs_per_language / n) * ((1 << 63) - 1)) * 2 - (1 << 63) + 1 if n > 2 * docs_per_language else (1 << 63) - 1))
-            for name, n in sorted(counts.items())]
     share = 2 * dictionary_bytes // max(1, docs_per_language) * 4
     middle = F.greatest(F.lit(1), ((F.length("text") - share) / 2).cast("int") + 1)
-    picked = rows.where(F.col("mark") <= F.coalesce(*tops)).select("label", "mark", F.substring("text", middle, F.lit(share)).alias("text"))
+    picked = rows.join(F.broadcast(least.select("label", "mark")), ["label", "mark"], "left_semi").select(
+        "label", "mark", F.substring("text", middle, F.lit(share)).alias("text")).groupBy("label", "mark").agg(F.min("text").alias("text"))
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.collect():
+    for r in picked.toLocalIterator():
         texts.setdefault(r["label"], []).append((r["mark"], r["text"]))
     return {name: cut_dictionary([t for _, t in sorted(found)[:docs_per_language]], dictionary_bytes) for name, found in sorted(texts.items())}
 
