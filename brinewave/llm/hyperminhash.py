@@ -15,10 +15,13 @@ two by the contract of op6, five in the pipeline. Links are pairs of sets with `
 * **Few pairs within a bucket.** Each member of a bucket is first tried with the bucket's
   smallest member only, beginning with the one it shares most bands with. Then, in buckets
   whose members are still in several components, every member outside the largest of these
-  is tried with all members of other components whose sizes and low register bits allow a
-  link (the bits are compared in the join). Pairs already in one component need no test, and no
-  link between components is lost. Members that are in no component yet and similar to nearly
-  all of a large one, below the threshold, are compared with all of it: their number times its size.
+  is tried with all members of other components whose sizes, low register bits and bitmaps allow
+  a link, all compared in the join. A bitmap has a bit for each of 1,024 ranges of shingle
+  hashes; bits that the other set lacks bound the intersection from above, so that no linked
+  pair fails, and few pairs below the threshold are left of sets of some hundred shingles. (Of
+  sets of thousands it says little, and the registers decide.) Pairs already in one component
+  need no test, and no link between components is lost. The comparisons of bits within the join
+  are still as many as the members outside a large component times its size.
 * **Tests.** A pair goes on if its collision-corrected estimate is not more than six
   standard deviations below the threshold; the full sets, made from the whole texts, decide.
 
@@ -26,8 +29,9 @@ Hot buckets are only aggregated with map-side combining or joined, which adaptiv
 splits. Intermediate tables are in the shared folder. Nothing is collected.
 
 Null, empty and blank texts have an empty set and are their own component. Repeated rows
-are equal sets. A row with a null key is linked with nothing and has a null component. Empty
-tables give no rows. Extra columns are ignored.
+are equal sets. Rows that share a key but not their text are documents of their own, linked by
+their own sets; each is kept if its key is its component's. A row with a null key is linked with
+nothing and has a null component. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,6 +142,30 @@ def planes_apart(a: str, b: str, percent: int) -> str:
     return f"{' + '.join(f'bit_count({w})' for w in words)} > {int(most)}"
 
 
+MASK_BITS = 1024
+MASK_COLUMNS = [f"m{j}" for j in range(MASK_BITS // 64)]
+
+
+def masks(sets: list[np.ndarray]) -> list[bytes]:
+    """A bitmap of each set: one bit for the leading bits of each shingle's hash."""
+    out = np.zeros((len(sets), MASK_BITS), bool)
+    for row, s in zip(out, sets):
+        row[(s >> _U(64 - MASK_BITS.bit_length() + 1)).astype(np.int64)] = True
+    return [row.tobytes() for row in np.packbits(out, axis=1)]
+
+
+def masks_allow(a: str, b: str, percent: int) -> str:
+    """SQL: the bitmaps leave a pair at the threshold possible.
+
+    A bit of one set that the other lacks is a shingle the other lacks, so that the bitmaps
+    bound the intersection from above. No linked pair fails, whatever the hashes.
+    """
+    def own(x: str, y: str) -> str:
+        return " + ".join(f"bit_count({x}.{c} & ~{y}.{c})" for c in MASK_COLUMNS)
+
+    return f"{100 + percent} * least({a}.n - ({own(a, b)}), {b}.n - ({own(b, a)})) >= {percent} * ({a}.n + {b}.n)"
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected similarity of sketch rows, and the number of registers it rests on."""
     used = (a != EMPTY) | (b != EMPTY)
@@ -164,7 +192,7 @@ def _signatures(percent: int, shingle: int):
             for d, row in zip(members, sketches([sets[d] for d in members], level)):
                 held[d].append({"level": level, "registers": row.tobytes()})
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        return {"n_shingles": n, "set_key": keys, "sketches": held}
+        return {"n_shingles": n, "set_key": keys, "mask": masks(sets), "sketches": held}
 
     return work
 
@@ -192,18 +220,21 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 
 def _planes(reps: DataFrame) -> DataFrame:
-    """(node, level, agreement columns) of each sketch."""
+    """(node, level, agreement columns, bitmap columns) of each sketch."""
+    names = ["node", "level", *PLANE_COLUMNS, *MASK_COLUMNS]
+
     def run(batches):
         for batch in batches:
             for first in range(0, len(batch), 2000):
                 part = batch.slice(first, 2000)
-                got = planes(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c) for c in np.ascontiguousarray(got.T)]],
-                                                 names=["node", "level", *PLANE_COLUMNS])
+                low = planes(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS))
+                bits = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64).reshape(len(part), -1)
+                columns = [pa.array(c) for c in np.ascontiguousarray(np.concatenate([low, bits], axis=1).T)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
 
     kind = reps.schema["node"].dataType.simpleString()
-    flat = reps.select("node", F.explode("sketches").alias("s")).select("node", "s.level", "s.registers")
-    return arrow_map(flat, run, f"node {kind}, level int, " + ", ".join(f"{c} bigint" for c in PLANE_COLUMNS))
+    flat = reps.select("node", "mask", F.explode("sketches").alias("s")).select("node", "s.level", "s.registers", "mask")
+    return arrow_map(flat, run, f"node {kind}, level int, " + ", ".join(f"{c} bigint" for c in names[2:]))
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, shingle: int, name: str) -> DataFrame:
@@ -269,13 +300,24 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, shingle: int = 2) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each document; components are named by their smallest key."""
     rows = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
-    signed = stored(map_texts(rows, ["node"], "n_shingles bigint, set_key binary, sketches array<struct<level:int,registers:binary>>",
+    if rows.where("node is not null").groupBy("node").count().where("count > 1").isEmpty():
+        found = _linked(rows, percent, shingle)
+    else:  # rows that share a key but not their text are documents of their own
+        known = F.col("node").isNotNull()
+        apart = rows.withColumn("node", F.when(known, F.struct(F.col("node").alias("id"), F.when(known, F.xxhash64("text")).alias("mark"))))
+        found = _linked(apart, percent, shingle).select(F.col("node.id").alias("node"), "n_shingles", F.col("component_id.id").alias("component_id"))
+    return found.select(F.col("node").alias(key), "n_shingles", "component_id", F.col("node").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _linked(rows: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(node, n_shingles, component_id) for each row of (node, text), where a node has one text."""
+    signed = stored(map_texts(rows, ["node"], "n_shingles bigint, set_key binary, mask binary, sketches array<struct<level:int,registers:binary>>",
                               _signatures(percent, shingle)), "sketches")
     usable = signed.where("node is not null and n_shingles > 0")
     classes = stored(usable.groupBy("set_key").agg(F.min("node").alias("node")), "set-classes")
     reps = stored(
         usable.join(classes.select("node"), "node", "left_semi").groupBy("node").agg(
-            F.first("n_shingles").alias("n"), F.first("sketches").alias("sketches")), "set-sketches")
+            F.first("n_shingles").alias("n"), F.first("mask").alias("mask"), F.first("sketches").alias("sketches")), "set-sketches")
 
     buckets = _bands(reps).groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1")
     shared = stored(_bands(reps).join(buckets.select("band", "head"), "band"), "shared-bands")
@@ -302,7 +344,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     with_planes = mixed.join(_planes(reps), ["node", "level"])
     minor = with_planes.where("component <> main").alias("x")
     fits = (f"x.component <> y.component AND (y.component = y.main OR x.node < y.node) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) "
-            f"AND NOT ({planes_apart('x', 'y', percent)})")
+            f"AND NOT ({planes_apart('x', 'y', percent)}) AND {masks_allow('x', 'y', percent)}")
     cross = minor.join(with_planes.alias("y"), F.expr(f"x.band = y.band AND {fits}")).select(
         F.expr("greatest(x.node, y.node)").alias("a"), F.expr("least(x.node, y.node)").alias("b")).distinct()
     cross = cross.join(stars.select("a", "b"), ["a", "b"], "left_anti")
@@ -313,8 +355,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     named = classes.join(parts, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = usable.select("node", "n_shingles", "set_key").join(named, "set_key").select("node", "n_shingles", "component_id")
     alone = signed.where("node is null or n_shingles = 0").select("node", "n_shingles", F.col("node").alias("component_id"))
-    return out.unionByName(alone).select(
-        F.col("node").alias(key), "n_shingles", "component_id", F.col("node").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.unionByName(alone)
 
 
 def _components(links: DataFrame) -> DataFrame:

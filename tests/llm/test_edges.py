@@ -159,3 +159,16 @@ def test_empty_tables(spark, odd_documents, odd_labels, tagger, bench):
     assert language_zstd.identify(none, {}).count() == 0
     assert warc_normalise.round_trip(pages).count() == 0
     assert url_rules.judge_urls(pages, spark.createDataFrame([("a", "/", "block")], "host string, path string, verdict string")).count() == 0
+
+
+def test_near_duplicates_with_one_key_on_several_texts(spark):
+    """Each text under a repeated key is linked by its own set, whichever row comes first."""
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for g in range(20):
+        own = [f"g{g}{w}" for w in words]
+        rows += [(g, " ".join(own)), (g, f"other text {g} " + " ".join(f"z{g}{w}" for w in words)), (100 + g, " ".join(own[:-1] + ["end"]))]
+    got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert len(got) == 60
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {
+        *[(g, g, True) for g in range(20)], *[(100 + g, g, False) for g in range(20)]}

@@ -421,3 +421,24 @@ def test_url_rules_by_hand(spark):
         got = url_rules.judge_urls(pages, table, rule_bytes=limit).collect()
         assert {x["page_id"]: (x["host"], x["path"], len(x["rule"]) if x["rule"] else None) for x in got} == want
         assert all(x["rule"] is None or x["rule"] in known for x in got)
+
+
+def test_bitmaps_let_every_linked_pair_pass(spark):
+    """The bound holds for pairs at and above the threshold at any size; it drops most pairs well below it."""
+    rng = np.random.default_rng(3)
+    rows, linked = [], []
+    for n in (1, 2, 5, 30, 150, 700, 4000):
+        for _ in range(40):
+            both, a, b = (int(v) for v in (n, rng.integers(0, n // 3 + 2), rng.integers(0, n // 3 + 2)))
+            items = np.unique(rng.integers(0, 1 << 63, both + a + b, dtype=np.uint64) * np.uint64(2))
+            x, y = items[:both + a], np.concatenate([items[:both], items[both + a:]])
+            m = [np.frombuffer(v, np.int64).tolist() for v in hyperminhash.masks([x, y])]
+            rows.append((len(rows), len(x), len(y), *m[0], *m[1]))
+            linked.append(100 * both >= 80 * len(items))
+    names = [f"{s}{c}" for s in "xy" for c in hyperminhash.MASK_COLUMNS]
+    df = spark.createDataFrame(rows, "i int, xn long, yn long, " + ", ".join(f"{c} long" for c in names))
+    sides = df.selectExpr("i", *[f"named_struct('n', {s}n, {', '.join(f'{chr(39)}{c}{chr(39)}, {s}{c}' for c in hyperminhash.MASK_COLUMNS)}) AS {s}" for s in "xy"])
+    passed = {r["i"] for r in sides.where(hyperminhash.masks_allow("x", "y", 80)).select("i").collect()}
+    assert all(i in passed for i, yes in enumerate(linked) if yes)
+    middle = [i for i in range(160, 200) if not linked[i]]
+    assert sum(i in passed for i in middle) < len(middle) / 2
