@@ -16,7 +16,7 @@ two by the contract of op6, five in the pipeline. Links are pairs of sets with `
   smallest member only, beginning with the one it shares most bands with. Then, in buckets
   whose members are still in several components, every member outside the largest of these
   is tried with all members of other components whose sizes, low register bits and bitmaps allow
-  a link, all compared in the join. A bitmap has a bit for each of 1,024 ranges of shingle
+  a link, all compared in the join. A bitmap has a bit for each of 2,048 ranges of shingle
   hashes; bits that the other set lacks bound the intersection from above, so that no linked
   pair fails, and few pairs below the threshold are left of sets of some hundred shingles. (Of
   sets of thousands it says little, and the registers decide.) Pairs already in one component
@@ -142,7 +142,7 @@ def planes_apart(a: str, b: str, percent: int) -> str:
     return f"{' + '.join(f'bit_count({w})' for w in words)} > {int(most)}"
 
 
-MASK_BITS = 1024
+MASK_BITS = 2048
 MASK_COLUMNS = [f"m{j}" for j in range(MASK_BITS // 64)]
 
 
@@ -234,7 +234,7 @@ def _planes(reps: DataFrame) -> DataFrame:
 
     kind = reps.schema["node"].dataType.simpleString()
     flat = reps.select("node", "mask", F.explode("sketches").alias("s")).select("node", "s.level", "s.registers", "mask")
-    return arrow_map(flat, run, f"node {kind}, level int, " + ", ".join(f"{c} bigint" for c in names[2:]))
+    return arrow_map(flat, run, f"node {kind}, level int, " + ", ".join(f"{c} bigint not null" for c in names[2:]))
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, shingle: int, name: str) -> DataFrame:
