@@ -13,8 +13,10 @@ and look-alikes that are none (dates, versions, amounts, order numbers).
 
 **Decoding.** The whole text is covered by windows of ``WINDOW`` characters that overlap by half.
 Every kind has a digit, an ``@`` or a bracketed ``at`` in each of its spans, so windows
-without any of these cannot hold a span and are not scored. Spans cut by an inner window edge are
-left to the neighbour that sees them whole. All candidates of a text, with their gain over
+without any of these cannot hold a whole span and are not scored. A piece cut by an inner window
+edge is left to the neighbour that sees it whole; where none does, the windows of twice the width
+about its ends are scored, and so on, so that a span of any length is seen whole by some window
+(a piece that no span of its kind can contain is let go; memory of a task grows with the longest span). All candidates of a text, with their gain over
 no span, are reconciled globally: of overlapping ones the set with the largest total gain is
 taken, by dynamic programming. Candidates must pass the rules of their kind (ranges, digit
 counts, Luhn) and may not touch a pattern's span.
@@ -29,6 +31,7 @@ exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -402,35 +405,96 @@ def train_tagger(docs: DataFrame, key: str = "doc_id", text: str = "text", max_d
 
 
 def model_spans(texts: list[str], tagger: Tagger, batch: int = 256) -> list[list[tuple[str, int, int, float]]]:
-    """Candidates (kind, start, end, gain) of each text from all its windows."""
-    windows: list[tuple[int, int]] = []
+    """Candidates (kind, start, end, gain) of each text from all its windows.
+
+    A span cut by an edge of its window, and not seen whole by another one, is looked at again
+    in windows twice as wide, until one holds it.
+    """
     coded: dict[int, np.ndarray] = {}
+    hot: set[tuple[int, int]] = set()
     for d, text in enumerate(texts):
-        if not triggered(text):
-            continue
-        coded[d] = classes(text)
-        hot = sorted({g for m in TRIGGER.finditer(text) for g in (m.start() // STRIDE - 1, m.start() // STRIDE) if g >= 0})
-        windows += [(d, g * STRIDE) for g in hot]
+        if triggered(text):
+            coded[d] = classes(text)
+            hot.update((d, g) for m in TRIGGER.finditer(text) for g in (m.start() // STRIDE - 1, m.start() // STRIDE) if g >= 0)
     out: list[list] = [[] for _ in texts]
+    width = WINDOW
+    while hot:
+        whole, cut = _window_spans(coded, sorted(hot), width, tagger, max(1, batch * WINDOW // width))
+        for d, *span in whole:
+            out[d].append(tuple(span))
+        stride, hot = width, set()
+        seen: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        for d, kind, a, b, _ in whole:
+            seen.setdefault((d, kind), []).append((a, b))
+        for (d, kind), spans in seen.items():
+            seen[d, kind] = _outermost(spans)
+        for d, kind, a, b in cut:
+            if _can_go_on(kind, texts[d], a, b) and not _within(seen.get((d, kind), []), a, b):
+                hot.update((d, g) for p in (a, b - 1) for g in (p // stride - 1, p // stride) if g >= 0)
+        width *= 2
+    return out
+
+
+def _window_spans(coded: dict[int, np.ndarray], windows: list[tuple[int, int]], width: int, tagger: Tagger, batch: int) -> tuple[list, list]:
+    """(text, kind, start, end, gain) of spans that a window holds whole, and (text, kind, start, end) of pieces cut by its edges."""
+    whole, cut = [], []
     for first in range(0, len(windows), batch):
-        part = windows[first:first + batch]
-        x = np.zeros((len(part), WINDOW), np.int64)
+        part = [(d, g * (width // 2)) for d, g in windows[first:first + batch]]
+        x = np.zeros((len(part), width), np.int64)
         for r, (d, a) in enumerate(part):
-            piece = coded[d][a:a + WINDOW]
+            piece = coded[d][a:a + width]
             x[r, :len(piece)] = piece
         tags, gain = tagger.decode(x)
         for r in np.flatnonzero(tags.any(axis=1)):
             d, at = part[r]
             for b in np.flatnonzero(tags[r] % 2 == 1):
                 e = b + 1
-                while e < WINDOW and tags[r, e] == tags[r, b] + 1:
+                while e < width and tags[r, e] == tags[r, b] + 1:
                     e += 1
-                cut_left, cut_right = b == 0 and at > 0, e == WINDOW and at + WINDOW < len(coded[d])
-                if not (cut_left or cut_right) and at + e <= len(coded[d]):
-                    out[d].append((KINDS[(tags[r, b] - 1) // 2], at + int(b), at + int(e), float(gain[r, b:min(e + 1, WINDOW)].sum())))
+                kind = KINDS[(tags[r, b] - 1) // 2]
+                if (b == 0 and at > 0) or (e == width and at + width < len(coded[d])):
+                    cut.append((d, kind, at + int(b), at + int(e)))
+                elif at + e <= len(coded[d]):
+                    whole.append((d, kind, at + int(b), at + int(e), float(gain[r, b:min(e + 1, width)].sum())))
+    return whole, cut
+
+
+_FOREIGN = {
+    "email": re.compile(r"[^\w.%+@\[\]() -]|\w \w", re.A),
+    "ip": re.compile(r"[^\d.\[\] ]", re.A),
+    "card": re.compile(r"[^\d\s().+/_-]", re.A),
+    "phone": re.compile(r"[^\d\s().+/_-]", re.A),
+}
+#: what a span of the kind has at most so many of
+_AT_MOST = {
+    "email": (re.compile(r"@|[\[(] ?at ?[\])]", re.I), 1),
+    "ip": (re.compile(r"\d+", re.A), 4),
+    "card": (re.compile(r"\d", re.A), 19),
+    "phone": (re.compile(r"\d", re.A), 15),
+}
+
+
+def _can_go_on(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether some longer span around this piece could pass the rules of its kind."""
+    counted, most = _AT_MOST[kind]
+    return not _FOREIGN[kind].search(text, a, b) and len(counted.findall(text, a, b)) <= most
+
+
+def _outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in no other one, by start and so by end."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
     return out
 
 
+def _within(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the outermost spans holds [a, b)."""
+    i = bisect_right(spans, (a, float("inf"))) - 1
+    return i >= 0 and b <= spans[i][1]
+
+
 def reconcile(candidates: list[tuple[str, int, int, float]], fixed: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """The non-overlapping candidates of largest total gain that touch no fixed span."""
     best: dict[tuple[str, int, int], float] = {}

@@ -442,3 +442,32 @@ def test_bitmaps_let_every_linked_pair_pass(spark):
     assert all(i in passed for i, yes in enumerate(linked) if yes)
     middle = [i for i in range(160, 200) if not linked[i]]
     assert sum(i in passed for i in middle) < len(middle) / 2
+
+
+class _LowerCaseTagger:
+    """Tags each run of lower-case letters, dots and @ as an email: what is found depends on the windows alone."""
+
+    def decode(self, x):
+        inside = (x == 2) | np.isin(x, pii_lstm.classes("@.adot"))
+        first = inside & ~np.concatenate([np.zeros((len(x), 1), bool), inside[:, :-1]], axis=1)
+        return np.where(first, 1, np.where(inside, 2, 0)), inside.astype(float)
+
+
+def test_spans_of_any_length_are_seen_whole_at_any_offset():
+    for length in (5, 63, 64, 65, 100, 127, 128, 129, 200, 300, 1000, 5000):
+        for offset in range(0, 130, 7):
+            for at in {1, length // 2, length - 4}:
+                span = "b" * at + "@" + "c" * (length - at - 3) + ".e"
+                text = "X" * offset + " " + span + " " + "X" * 150
+                spans = {c[:3] for c in pii_lstm.model_spans([text], _LowerCaseTagger())[0]}
+                assert ("email", offset + 1, offset + 1 + len(span)) in spans, (length, offset, at)
+
+
+def test_pieces_that_no_span_contains_are_let_go():
+    assert pii_lstm._can_go_on("email", "ab [at] c [dot] d", 0, 17)
+    assert not pii_lstm._can_go_on("email", "ab [at] c [at] d", 0, 16)
+    assert not pii_lstm._can_go_on("email", "plain words", 0, 11)
+    assert pii_lstm._can_go_on("card", "1234 5678", 0, 9) and not pii_lstm._can_go_on("card", "1" * 20, 0, 20)
+    assert not pii_lstm._can_go_on("phone", "1" * 16, 0, 16) and not pii_lstm._can_go_on("ip", "1.2.3.4.5", 0, 9)
+    assert pii_lstm._outermost([(3, 5), (0, 4), (1, 2), (0, 3)]) == [(0, 4), (3, 5)]
+    assert pii_lstm._within([(0, 4), (3, 5)], 3, 5) and not pii_lstm._within([(0, 4), (3, 5)], 2, 5) and not pii_lstm._within([], 0, 1)
